@@ -19,7 +19,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     A single small file is a single task otherwise. Inputs above 256 MB are returned as they
     are: their splits already keep every core busy, and shuffling them would cost more.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > _SMALL_INPUT:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
