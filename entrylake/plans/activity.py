@@ -115,11 +115,12 @@ QUERIES = {
 }
 
 
-def limiter_sql(key: str, limit: int, seconds: int, tail: str, views: str = "attempts") -> str:
+def limiter_sql(key: str, limit: int, seconds: int, tail: str, views: str = "attempts",
+                source: str = "attempts") -> str:
     """A replay of the limiter, one event per step and key."""
     return with_views(views, f"""--more
 ev as (select event_id, ts, {key} as key,
-    row_number() over (partition by {key} order by ts, event_id) as rn from attempts),
+    row_number() over (partition by {key} order by ts, event_id) as rn from {source}),
 replay as (
   select event_id, key, rn, ts as start, 1 as hit from ev where rn = 1
   union all

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accounts, activity, knowledge
+from . import accounts, activity, knowledge, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-_GROUPS = [accounts, activity, knowledge]
+_GROUPS = [accounts, activity, knowledge, streams]
 
 
 def _in_utc(query: Query) -> Query:

@@ -170,6 +170,7 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
         for key, value in _DUCK.items():
             text = text.replace(f"{{{key}}}", value)
         parts.append(f"{name} as ({text.strip()})")
-    head = "with recursive " if recursive else "with "
-    return head + ",\n".join(parts) + ("," if body.lstrip().startswith("--more") else "") \
-        + "\n" + body.replace("--more", "", 1)
+    if body.lstrip().startswith("--more"):
+        first, body = body.replace("--more", "", 1).strip(), ""
+        parts.append(first)
+    return ("with recursive " if recursive else "with ") + ",\n".join(parts) + "\n" + body

@@ -175,7 +175,7 @@ def _weights(source: str, key: str, text: str) -> str:
   group by key, bucket having sum(sign) <> 0"""
 
 
-def _search_ctes(source: str, key: str) -> str:
+def search_ctes(source: str, key: str) -> str:
     return f"""
 d as ({_weights('documents', 'doc_id', 'text')}),
 q as ({_weights(source, key, 'text')}),
@@ -245,13 +245,13 @@ select vec_id, case vec_id % 11 when 1 then 'null' when 2 then 'width' when 3 th
     "knn_filtered": _knn_sql(_COSINE, where="""id in (select id from entries
   where list_has_any(tags, ['de', 'fr']) and list_contains(tags, 'unrated'))"""),
     "knn_floor": _knn_sql(_COSINE, where="score >= 0.3"),
-    "text_search": f"""with {_search_ctes('benchmark', 'item_id')}
+    "text_search": f"""with {search_ctes('benchmark', 'item_id')}
 select q as q_id, rnk, id, score from hits where rnk <= 5""",
-    "search_with_resources": with_views("markdown", f"""--more {_search_ctes('benchmark', 'item_id')},
+    "search_with_resources": with_views("markdown", f"""--more {search_ctes('benchmark', 'item_id')},
 res as ({_CODE} union all {_MD_LINKS})
 select h.q as q_id, h.rnk, h.id, r.kind, r.pos, r.content
 from hits h left join res r on r.entry_id = h.id where h.rnk <= 5"""),
     "ivf_search_all_cells": _knn_sql(_COSINE),
-    "search_log": f"""with {_search_ctes("(select * from conversations where role = 'user')", 'conv_id * 1048576 + turn')}
+    "search_log": f"""with {search_ctes("(select * from conversations where role = 'user')", 'conv_id * 1048576 + turn')}
 select q // 1048576 as conv_id, q % 1048576 as turn, rnk, id, score from hits where rnk <= 3""",
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 _SMALL_INPUT = 256 * 2**20
@@ -49,31 +50,35 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, partitions: i
             .options(**jdbc_options(url, table, key, *bounds, partitions), **properties).load())
 
 
-def _versions(spark: SparkSession, root: str, name: str) -> list[int]:
+def committed(spark: SparkSession, root: str, name: str) -> list[Row]:
+    """Commit records of a table (version, upto), oldest first."""
     log = f"{root.rstrip('/')}/{name}/commits"
     try:
-        rows = spark.read.schema("version long").json(log).distinct().collect()
-    except Exception as error:  # no such path: nothing was committed yet
-        if "PATH_NOT_FOUND" in str(error):
+        rows = spark.read.schema("version long, upto long").json(log).distinct().collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
-    return sorted(r["version"] for r in rows)
+    return sorted(rows, key=lambda r: r["version"])
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, sort_by: list[str] | None = None) -> int:
+def write_snapshot(df: DataFrame, root: str, name: str, sort_by: list[str] | None = None,
+                   upto: int | None = None) -> int:
     """Write the next version of a table and commit it; returns the version.
 
     Data goes to a new folder, so the version being read is never overwritten. A version is
     visible only after its commit record is written; a job that dies leaves no half table.
-    ``sort_by`` sorts inside the files for pruning by row-group statistics.
+    ``sort_by`` sorts inside the files for pruning by row-group statistics; ``upto`` notes
+    the last micro-batch a snapshot has taken in.
     """
     spark = df.sparkSession
-    done = _versions(spark, root, name)
-    version = done[-1] + 1 if done else 1
+    done = committed(spark, root, name)
+    version = done[-1]["version"] + 1 if done else 1
     base = f"{root.rstrip('/')}/{name}"
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
-    out.write.mode("errorifexists").parquet(f"{base}/data/v={version}")
-    spark.range(1).select(F.lit(version).cast("long").alias("version")) \
+    # A folder without a commit is what a failed attempt left behind.
+    out.write.mode("overwrite").parquet(f"{base}/data/v={version}")
+    spark.createDataFrame([(version, upto)], "version long, upto long").coalesce(1) \
         .write.mode("append").json(f"{base}/commits")
     return version
 
@@ -81,8 +86,8 @@ def write_snapshot(df: DataFrame, root: str, name: str, sort_by: list[str] | Non
 def read_snapshot(spark: SparkSession, root: str, name: str, schema: StructType | None = None,
                   version: int | None = None) -> DataFrame:
     """The last committed version of a table, or a given one."""
-    done = _versions(spark, root, name)
-    if version is None and not done or version is not None and version not in done:
+    done = [r["version"] for r in committed(spark, root, name)]
+    if not done or (version is not None and version not in done):
         raise FileNotFoundError(f"{name}: no committed version {version or ''}".strip())
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(f"{root.rstrip('/')}/{name}/data/v={version or done[-1]}")
