@@ -9,8 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas as S
@@ -127,21 +126,70 @@ class IvfIndex:
     centres: np.ndarray
 
 
-def _nearest_cells(centres: np.ndarray, nprobe: int, out: str, keep: str):
-    """Arrow kernel: the ``nprobe`` cells whose centres have the highest cosine."""
-    dim = centres.shape[1]
-    unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
+class _Cells:
+    """Assigns vectors to the cells whose centres have the highest cosine."""
 
+    def __init__(self, centres: np.ndarray, nprobe: int):
+        self.unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
+        self.nprobe = min(nprobe, len(centres))
+
+    def __call__(self, block: np.ndarray) -> np.ndarray:
+        near = block @ self.unit.T / np.linalg.norm(block, axis=1)[:, None]
+        return np.argsort(-np.round(near, 9), axis=1, kind="stable")[:, :self.nprobe]
+
+
+class _Projections:
+    """p-stable hashing of unit vectors: one bucket number per random direction.
+
+    A bucket is numbered within its table, so equal numbers mean equal table and bucket.
+    """
+
+    def __init__(self, dim: int, tables: int, bucket_length: float, seed: int):
+        rng = np.random.default_rng(seed)
+        self.directions = rng.normal(size=(dim, tables))
+        self.directions /= np.linalg.norm(self.directions, axis=0)
+        self.shift = rng.uniform(0, bucket_length, size=tables)
+        self.length, self.tables = bucket_length, tables
+
+    def __call__(self, block: np.ndarray) -> np.ndarray:
+        unit = block / np.linalg.norm(block, axis=1)[:, None]
+        bucket = np.floor((unit @ self.directions + self.shift) / self.length).astype(np.int64)
+        return bucket * self.tables + np.arange(self.tables)
+
+
+def _in_cells(df: DataFrame, key: str, dim: int, assign: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows (key, v, cell), one for each cell of each searchable vector."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, block = K.list_matrix(batch.column("v"), dim)
-            order = np.argsort(-np.round(block @ unit.T / np.linalg.norm(block, axis=1)[:, None], 9),
-                               axis=1, kind="stable")[:, :nprobe]
-            taken = pa.array(np.repeat(rows, order.shape[1]))
+            cells = assign(block)
+            taken = pa.array(np.repeat(rows, cells.shape[1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(keep).take(taken), batch.column("v").take(taken),
-                 pa.array(order.ravel().astype(np.int32))], names=[keep, "v", out])
-    return kernel
+                [batch.column(key).take(taken), batch.column("v").take(taken),
+                 pa.array(cells.ravel().astype(np.int64))], names=[key, "v", "cell"])
+
+    shape = f"{key} long, v {df.schema['v'].dataType.simpleString()}, cell long"
+    return df.select(F.col(key).cast("long").alias(key), "v").mapInArrow(kernel, shape)
+
+
+class _Router:
+    """Sends the entries of a batch to the queries that probe one of their cells."""
+
+    def __init__(self, probes: np.ndarray, assign: Callable[[np.ndarray], np.ndarray] | None):
+        self.assign = assign
+        order = np.argsort(probes.ravel(), kind="stable")
+        cells, begins = np.unique(probes.ravel()[order], return_index=True)
+        asked = np.split(order // probes.shape[1], begins[1:])
+        self.asked = dict(zip(cells.tolist(), asked))
+
+    def __call__(self, batch: pa.RecordBatch, rows: np.ndarray, block: np.ndarray):
+        cells = (batch.column("cell").to_numpy()[rows][:, None] if self.assign is None
+                 else self.assign(block))
+        order = np.argsort(cells.ravel(), kind="stable")
+        names, begins = np.unique(cells.ravel()[order], return_index=True)
+        for name, entries in zip(names.tolist(), np.split(order // cells.shape[1], begins[1:])):
+            if name in self.asked:
+                yield entries, self.asked[name]
 
 
 def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_000, seed: int = 7) -> IvfIndex:
@@ -157,53 +205,50 @@ def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_0
     model = (KMeans(k=cells, seed=seed, featuresCol="_f", maxIter=15, initSteps=3)
              .fit(part.select(array_to_vector("v").alias("_f"))))
     centres = np.array(model.clusterCenters())
-    rows = usable.select("id", "v").mapInArrow(_nearest_cells(centres, 1, "cell", "id"),
-                                               _cell_schema(usable, "id"))
-    return IvfIndex(rows, centres)
-
-
-def _cell_schema(df: DataFrame, key: str) -> str:
-    return f"{key} long, v {df.schema['v'].dataType.simpleString()}, cell int"
+    return IvfIndex(_in_cells(usable, "id", dim, _Cells(centres, 1)), centres)
 
 
 def ivf_search(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, metric: str = "cosine",
-               skip_self: bool = False, block_rows: int = K.BLOCK_ROWS) -> DataFrame:
-    """Top-k among the entries of the ``nprobe`` nearest cells; all cells give the exact result."""
+               skip_self: bool = False, max_bytes: int = K.BROADCAST_BYTES,
+               block_rows: int = K.BLOCK_ROWS) -> DataFrame:
+    """Top-k among the entries of the ``nprobe`` nearest cells; all cells give the exact result.
+
+    Few queries (checked) are broadcast and the probed cells are read in place; many queries
+    meet the cells in the block grid.
+    """
     dim = index.centres.shape[1]
-    probes = queries.select("q_id", "v").mapInArrow(
-        _nearest_cells(index.centres, min(nprobe, len(index.centres)), "cell", "q_id"),
-        _cell_schema(queries, "q_id"))
-    hits = K.grid(probes, index.rows, K.list_matrix, dim, k, metric, block_rows,
-                  skip_self=skip_self, overlap=False, floor=None)
+    assign = _Cells(index.centres, nprobe)
+    options = {"skip_self": skip_self, "overlap": False, "floor": None}
+    packed = K.pack(queries, K.list_matrix, dim, max_bytes)
+    if packed is not None:
+        probes = assign(packed[1])
+        # At most as many cells as there are centres.
+        rows = index.rows.where(F.col("cell").isin(np.unique(probes).tolist()))
+        hits = K.scan(packed, rows, K.list_matrix, dim, k, metric, _Router(probes, None), **options)
+    else:
+        asked = _in_cells(queries, "q_id", dim, assign)
+        hits = K.grid(asked, index.rows, K.list_matrix, dim, k, metric, block_rows, **options)
     return K.rank_hits(hits, k, metric)
 
 
 def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tables: int = 8,
                bucket_length: float = 0.5, seed: int = 7, skip_self: bool = False,
-               block_rows: int = K.BLOCK_ROWS) -> DataFrame:
+               max_bytes: int = K.BROADCAST_BYTES, block_rows: int = K.BLOCK_ROWS) -> DataFrame:
     """Top-k by cosine among entries that share a random-projection bucket with the query.
 
-    Each bucket of each hash table is a cell of the block grid; large buckets are cut into
-    blocks, and a task emits k hits per query, not the pairs of a bucket.
+    Few queries (checked) are broadcast, and entries are hashed where they are read; many
+    queries meet the buckets in the block grid. The pairs of a bucket are never listed.
     """
-    hasher = BucketedRandomProjectionLSH(inputCol="_f", outputCol="_h", numHashTables=tables,
-                                         bucketLength=bucket_length, seed=seed)
-
-    def usable(df: DataFrame) -> DataFrame:
-        good = df.where(vector_problem(F.col("v"), dim).isNull())
-        return normalize(good, "v").withColumn("_f", array_to_vector("v"))
-
-    c, q = usable(corpus.select("id", "v")), usable(queries.select("q_id", "v"))
-    model = hasher.fit(c.limit(1))
-
-    def in_cells(df: DataFrame, key: str) -> DataFrame:
-        hashed = model.transform(df).select(key, "v", F.posexplode("_h").alias("_t", "_b"))
-        bucket = F.element_at(vector_to_array("_b"), 1).cast("long")
-        return hashed.select(key, "v", F.concat_ws(":", "_t", bucket.cast("string")).alias("cell"))
-
-    hits = K.grid(in_cells(q, "q_id"), in_cells(c, "id"), K.list_matrix, dim, k, "cosine", block_rows,
-                  skip_self=skip_self, overlap=False, floor=None)
-    return K.rank_hits(hits.distinct(), k)
+    assign = _Projections(dim, tables, bucket_length, seed)
+    options = {"skip_self": skip_self, "overlap": False, "floor": None}
+    packed = K.pack(queries, K.list_matrix, dim, max_bytes)
+    if packed is not None:
+        hits = K.scan(packed, corpus.select("id", "v"), K.list_matrix, dim, k, "cosine",
+                      _Router(assign(packed[1]), assign), **options)
+    else:
+        hits = K.grid(_in_cells(queries, "q_id", dim, assign), _in_cells(corpus, "id", dim, assign),
+                      K.list_matrix, dim, k, "cosine", block_rows, **options).distinct()
+    return K.rank_hits(hits, k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

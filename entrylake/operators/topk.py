@@ -21,6 +21,7 @@ METRICS = ("cosine", "inner", "l2")
 BROADCAST_BYTES = 64 * 2**20
 BLOCK_ROWS = 50_000
 _CELLS_AT_ONCE = 4_000_000
+_LISTED_CELLS = 100_000
 _DIGITS = 1e6
 RESULT = "q_id long, id long, score double"
 
@@ -86,28 +87,36 @@ class Best:
         self.score = np.empty(0)
         self.worst = np.full(len(q_ids), -np.inf)
 
-    def add(self, ids: np.ndarray, block: np.ndarray) -> None:
-        step = max(1, _CELLS_AT_ONCE // max(1, len(self.q_ids)))
+    def add(self, ids: np.ndarray, block: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Score a block against all queries, or against the query positions ``only``."""
+        which = np.arange(len(self.q_ids)) if only is None else only
+        if not len(which) or not len(ids):
+            return
+        step = max(1, _CELLS_AT_ONCE // len(which))
         for a in range(0, len(ids), step):
-            self._add(ids[a:a + step], block[a:a + step])
+            self._add(ids[a:a + step], block[a:a + step], which)
 
-    def _add(self, ids: np.ndarray, block: np.ndarray) -> None:
-        score = _scores(self.queries, block, self.metric)
+    def _add(self, ids: np.ndarray, block: np.ndarray, which: np.ndarray) -> None:
+        queries, q_ids = self.queries[which], self.q_ids[which]
+        score = _scores(queries, block, self.metric)
         if self.overlap:
-            shared = (self.queries != 0).astype(np.float32) @ (block != 0).astype(np.float32).T
+            shared = (queries != 0).astype(np.float32) @ (block != 0).astype(np.float32).T
             score[shared == 0] = -np.inf
         if self.skip_self:
-            score[self.q_ids[:, None] == ids[None, :]] = -np.inf
+            score[q_ids[:, None] == ids[None, :]] = -np.inf
         if self.floor is not None:
             score[score < self.floor] = -np.inf
-        bar = self.worst
+        bar = self.worst[which]
         if score.shape[1] > self.k:
             bar = np.maximum(bar, np.partition(score, -self.k, axis=1)[:, -self.k])
         q, r = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
         q, new_ids, new_score = (np.concatenate(pair) for pair in (
-            (self.q, q), (self.ids, ids[r]), (self.score, score[q, r])))
+            (self.q, which[q]), (self.ids, ids[r]), (self.score, score[q, r])))
         order = np.lexsort((new_ids, -new_score, q))
         q, new_ids, new_score = q[order], new_ids[order], new_score[order]
+        fresh = np.ones(len(q), dtype=bool)
+        fresh[1:] = (q[1:] != q[:-1]) | (new_ids[1:] != new_ids[:-1])
+        q, new_ids, new_score = q[fresh], new_ids[fresh], new_score[fresh]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < self.k
         self.q, self.ids, self.score = q[keep], new_ids[keep], new_score[keep]
@@ -132,23 +141,49 @@ def _rows_per_matrix(dim: int) -> int:
 
 
 def scan(packed: tuple[np.ndarray, np.ndarray], corpus: DataFrame, matrix: Callable, dim: int, k: int,
-         metric: str, **options) -> DataFrame:
-    """Hits of broadcast queries (ids, matrix) in one pass over corpus (id, v)."""
-    shared = corpus.sparkSession.sparkContext.broadcast(packed)
+         metric: str, route: Callable | None = None, **options) -> DataFrame:
+    """Hits of broadcast queries (ids, matrix) in one pass over corpus (id, v, ...).
+
+    ``route(batch, rows, block)`` yields (block positions, query positions) to be scored;
+    without it every query meets every entry.
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast((packed, route))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, queries = shared.value
+        (q_ids, queries), find = shared.value
         best = Best(q_ids, queries, k, metric, **options)
         step = _rows_per_matrix(dim)
         for batch in batches:
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 rows, block = matrix(part.column("v"), dim)
-                if len(rows):
-                    best.add(part.column("id").to_numpy()[rows], block)
+                if not len(rows):
+                    continue
+                ids = part.column("id").to_numpy()[rows]
+                if find is None:
+                    best.add(ids, block)
+                    continue
+                for entries, asked in find(part, rows, block):
+                    best.add(ids[entries], block[entries], asked)
         yield pa.RecordBatch.from_pandas(best.frame(), preserve_index=False)
 
-    return corpus.select("id", "v").mapInArrow(kernel, RESULT)
+    return corpus.mapInArrow(kernel, RESULT)
+
+
+def _block_counts(df: DataFrame, block_rows: int, name: str) -> DataFrame:
+    return (df.groupBy("cell").count().where(F.col("count") > block_rows)
+            .select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias(name)))
+
+
+def _with_blocks(df: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """Add the number of blocks of each cell. The list of large cells is fetched if it is short
+    (often it is empty); a longer one is joined like any table."""
+    listed = counts.limit(_LISTED_CELLS + 1).collect()
+    if not listed:
+        return df.withColumn(name, F.lit(1))
+    if len(listed) <= _LISTED_CELLS:
+        counts = F.broadcast(df.sparkSession.createDataFrame(listed, counts.schema))
+    return df.join(counts, "cell", "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
 
 def grid(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k: int, metric: str,
@@ -156,37 +191,28 @@ def grid(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k: i
     """Hits of queries (q_id, v, cell) among corpus rows (id, v, cell) of the same cell.
 
     A cell with more than ``block_rows`` entries or queries is cut into blocks; each pair of
-    blocks is one task's work. The lists of large cells have at most rows / block_rows
-    entries each, so they are broadcast.
+    blocks is one task's work, so neither a hot cell nor many queries fill a task.
     """
-    def large(df: DataFrame, name: str) -> DataFrame:
-        return (df.groupBy("cell").count().where(F.col("count") > block_rows)
-                .select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias(name)))
-
-    sizes = large(corpus, "shards").join(large(queries, "blocks"), "cell", "full")
+    shards = _block_counts(corpus, block_rows, "shards")
+    blocks = _block_counts(queries, block_rows, "blocks")
 
     def placed(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
-        n_own, n_other = (F.coalesce(F.col(c), F.lit(1)) for c in (own, other))
-        mine = F.pmod(F.xxhash64(id_col), n_own).cast("int").alias(own)
-        copies = F.explode(F.sequence(F.lit(0), n_other - 1)).alias(other)
-        return (df.join(F.broadcast(sizes), "cell", "left")
-                .select(F.col("cell").alias("cell"), F.col(id_col).alias(id_col),
-                        F.col("v").alias("v"), mine, copies))
+        sized = _with_blocks(_with_blocks(df, shards, "shards"), blocks, "blocks")
+        mine = F.pmod(F.xxhash64(id_col), F.col(own)).cast("int").alias(own)
+        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        return sized.select(F.col("cell").alias("cell"), F.col(id_col).alias(id_col),
+                            F.col("v").alias("v"), mine, copies)
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = None
+        best = Best(np.empty(0, dtype=np.int64), np.empty((0, dim)), k, metric, **options)
         if left.num_rows and right.num_rows:
             q_rows, q_block = matrix(left.column("v"), dim)
-            if len(q_rows):
-                best = Best(left.column("q_id").to_numpy()[q_rows], q_block, k, metric, **options)
-                step = _rows_per_matrix(dim)
-                for a in range(0, right.num_rows, step):
-                    part = right.slice(a, step)
-                    rows, block = matrix(part.column("v"), dim)
-                    if len(rows):
-                        best.add(part.column("id").to_numpy()[rows], block)
-        if best is None:
-            best = Best(np.empty(0, dtype=np.int64), np.empty((0, dim)), k, metric, **options)
+            best = Best(left.column("q_id").to_numpy()[q_rows], q_block, k, metric, **options)
+            step = _rows_per_matrix(dim)
+            for a in range(0, right.num_rows, step):
+                part = right.slice(a, step)
+                rows, block = matrix(part.column("v"), dim)
+                best.add(part.column("id").to_numpy()[rows], block)
         return pa.Table.from_pandas(best.frame(), preserve_index=False)
 
     where = ["cell", "shards", "blocks"]
@@ -197,16 +223,10 @@ def grid(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k: i
 
 def pack(queries: DataFrame, matrix: Callable, dim: int,
          max_bytes: int = BROADCAST_BYTES) -> tuple[np.ndarray, np.ndarray] | None:
-    """The queries (q_id, v) as one matrix, or None if it would exceed ``max_bytes``.
-
-    Never fetches more than one row beyond the bound.
-    """
-    most = max(1, max_bytes // (8 * dim))
-    if queries.count() > most:
-        return None
-    table = queries.select("q_id", "v").limit(most + 1).toArrow()
-    if table.num_rows > most:
+    """The queries (q_id, v) as one matrix, or None if it would exceed ``max_bytes``; counted first."""
+    if queries.count() > max_bytes // (8 * dim):
         return None
+    table = queries.select("q_id", "v").toArrow()
     if table.num_rows == 0:
         return np.empty(0, dtype=np.int64), np.empty((0, dim))
     rows, block = matrix(table.column("v"), dim)
@@ -220,7 +240,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k:
         raise ValueError(f"metric must be one of {METRICS}")
     packed = pack(queries, matrix, dim, max_bytes)
     if packed is not None:
-        hits = scan(packed, corpus, matrix, dim, k, metric, **options)
+        hits = scan(packed, corpus.select("id", "v"), matrix, dim, k, metric, **options)
     else:
         everywhere = F.lit(0).alias("cell")
         hits = grid(queries.select("q_id", "v", everywhere), corpus.select("id", "v", everywhere),
