@@ -125,10 +125,14 @@ def extract_links(df: DataFrame, id_col: str, text: str, markup: str = "html") -
 def with_resources(hits: DataFrame, resources: DataFrame) -> DataFrame:
     """Search hits (q_id, rnk, id) with the code and links of each entry, one row per resource.
 
-    Hits without resources stay, with nulls.
+    Hits without resources stay, with nulls. An entry may have any number of resources: an
+    inner join can be split on either side, an outer join could not.
     """
     own = resources.select(F.col("entry_id").alias("id"), "kind", "pos", "content")
-    return hits.join(own, "id", "left").select("q_id", "rnk", "id", "kind", "pos", "content")
+    columns = ["q_id", "rnk", "id", "kind", "pos", "content"]
+    found = own.join(hits.select("q_id", "rnk", "id"), "id").select(*columns)
+    bare = hits.join(own.select("id").distinct(), "id", "left_anti").select("q_id", "rnk", "id")
+    return found.unionByName(bare, allowMissingColumns=True)
 
 
 def stale_entries(entries: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def register(users: DataFrame, batch: DataFrame, now: datetime | Column, env: st
     now = now if isinstance(now, Column) else F.lit(now)
     judged = judge_registrations(users, batch, env)
     top = users.agg(F.max("id")).first()[0]
-    fresh = number_rows(judged.where("violations = ''"), ["seq"], "_rn", rows_per_chunk)
+    fresh = number_rows(judged.where("violations = ''"), ["seq"], "_rn", rows_per_chunk,
+                        at_most=batch.count())
     values = {"id": F.lit(-1 if top is None else top) + F.col("_rn"), "name": F.col("name"),
               "email": F.col("email"), "password": hash_password(F.col("password")),
               "created_at": now, "updated_at": now}

@@ -42,16 +42,19 @@ class Chunked:
 
 
 def chunk_hot_keys(df: DataFrame, key: str, order: list[str],
-                   rows_per_chunk: int = ROWS_PER_CHUNK) -> Chunked:
+                   rows_per_chunk: int = ROWS_PER_CHUNK, at_most: int | None = None) -> Chunked:
     """Cut hot keys of ``df`` into runs along ``order`` (columns that order rows uniquely).
 
     Any choice of cut points is correct, so they come from a sample. They are fetched once
     (at most 2 * MAX_CHUNKS small records) and enter the plan as constants, so every later
     evaluation, also after a lost executor, puts a row into the same chunk.
-    ``df`` must be deterministic, ``key`` is one non-null column.
+    ``df`` must be deterministic, ``key`` is one non-null column. ``at_most`` is an upper
+    bound of its rows, if that is known more cheaply than by counting.
     """
     spark = df.sparkSession
     whole = Chunked(df.withColumn("_chunk", F.lit(0)), None, key)
+    if at_most is not None and at_most <= rows_per_chunk:
+        return whole
     total = df.count()
     if total <= rows_per_chunk:
         return whole
@@ -109,10 +112,10 @@ def chunk_hot_keys(df: DataFrame, key: str, order: list[str],
 
 
 def number_rows(df: DataFrame, order: list[str], name: str,
-                rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                rows_per_chunk: int = ROWS_PER_CHUNK, at_most: int | None = None) -> DataFrame:
     """Consecutive numbers 1..n in global ``order`` without sorting everything in one task."""
     keyed = df.withColumn("_all", F.lit(0))
-    chunked = chunk_hot_keys(keyed, "_all", order, rows_per_chunk)
+    chunked = chunk_hot_keys(keyed, "_all", order, rows_per_chunk, at_most)
     local = F.row_number().over(Window.partitionBy("_all", "_chunk").orderBy(*order)).cast("long")
     if not chunked.split:
         return chunked.df.withColumn(name, local).drop("_all", "_chunk")

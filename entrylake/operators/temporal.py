@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from .. import schemas as S
 from ..functions.clock import SECOND, from_micros, micros
@@ -80,7 +80,7 @@ def _run_starts(batch: pa.RecordBatch, names: list[str], previous: pa.RecordBatc
     return first
 
 
-def _count_hits(width: int, limit: int, keep: list[str]):
+def _count_hits(width: int, limit: int, keep: list[str], with_start: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous, open_window = None, None
         for batch in batches:
@@ -100,9 +100,10 @@ def _count_hits(width: int, limit: int, keep: list[str]):
             start, hits = window_counts(t, first, entry, width)
             open_window = (int(start[-1]), int(hits[-1]))
             previous = batch.select(["_key", "_chunk"]).slice(n - 1, 1)
+            made = {"n": hits, "allowed": hits <= limit} | ({"start": start} if with_start else {})
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(hits), pa.array(hits <= limit)],
-                names=[*keep, "n", "allowed"])
+                [batch.column(c) for c in keep] + [pa.array(a) for a in made.values()],
+                names=[*keep, *made])
     return kernel
 
 
@@ -132,7 +133,10 @@ def _chunk_transitions(width: int):
 
 
 def _walk_chunks(width: int):
-    """Follow the open window from chunk to chunk; needs rows sorted by key, chunk, until."""
+    """Follow the open window from chunk to chunk; needs rows sorted by key, chunk, until.
+
+    ``first_start`` / ``first_hits`` is a window that was open before the first chunk.
+    """
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = chunk = state = None
         settled, rows = True, 0
@@ -143,8 +147,8 @@ def _walk_chunks(width: int):
                     if not settled and state is not None:
                         state = (state[0], state[1] + rows)
                     if r.key_ != key:
-                        state = None
-                    elif state is not None:
+                        state = None if pd.isna(r.first_start) else (int(r.first_start), int(r.first_hits))
+                    if state is not None:
                         out.append((r.key_, r.chunk_, *state))
                     key, chunk, rows = r.key_, r.chunk_, r.rows_
                     settled = False
@@ -154,39 +158,56 @@ def _walk_chunks(width: int):
     return kernel
 
 
-def _open_windows(chunked: Chunked, width: int) -> DataFrame:
+def _open_windows(chunked: Chunked, width: int, opened: DataFrame) -> DataFrame:
     """(key, chunk, start, hits) of the window that is open where a chunk of a hot key begins."""
     moves = (chunked.hot_rows().select("_key", "_chunk", "_t").groupBy("_key", "_chunk")
              .applyInPandas(_chunk_transitions(width), "_key string, _chunk int, _rows long, "
                                                        "until long, exit_start long, exit_hits long"))
-    return (moves.withColumnsRenamed({"_key": "key_", "_chunk": "chunk_", "_rows": "rows_"})
+    before = chunked.hot.select("_key").join(opened, "_key", "left").withColumnsRenamed(
+        {"_start": "first_start", "_hits": "first_hits"})
+    # One row per hot key, their number is bounded.
+    return (moves.join(F.broadcast(before), "_key")
+            .withColumnsRenamed({"_key": "key_", "_chunk": "chunk_", "_rows": "rows_"})
             .repartition("key_").sortWithinPartitions("key_", "chunk_", "until")
             .mapInPandas(_walk_chunks(width), "_key string, _chunk int, _start long, _hits long"))
 
 
 def rate_limit(events: DataFrame, key: str | Column, ts: str, order: str, limit: int, seconds: int,
-               rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+               rows_per_chunk: int = ROWS_PER_CHUNK, opened: DataFrame | None = None) -> DataFrame:
     """Keyed rate limit: adds ``n``, the hit number in its window, and ``allowed``.
 
     The first hit of a key opens a window of ``seconds``; a hit at or after its end opens the
     next one. Events are taken in order of (``ts``, ``order``); ``order`` must be unique.
     All columns of ``events`` pass through Python, so select the needed ones first. A key
-    of null counts as the empty string.
+    of null counts as the empty string. ``opened`` (key, start, hits; start in microseconds,
+    at most one row per key) are windows still open from earlier events; with it the column
+    ``start`` is added, from which the next ``opened`` can be made.
     """
     width = seconds * SECOND
-    keep = events.columns
     key_column = F.col(key) if isinstance(key, str) else key
     text_key = F.coalesce(key_column.cast("string"), F.lit(""))
     keyed = events.withColumns({"_key": text_key, "_t": micros(events, ts), "_id": F.col(order)})
     chunked = chunk_hot_keys(keyed, "_key", ["_t", "_id"], rows_per_chunk)
+    spark = events.sparkSession
+    windows = (spark.createDataFrame([], "_key string, _start long, _hits long") if opened is None
+               else opened.select(F.col("key").alias("_key"), F.col("start").alias("_start"),
+                                  F.col("hits").alias("_hits")))
+    none = F.lit(None).cast("long")
+    rows = chunked.df.withColumns({"_start": none, "_hits": none})
+    if opened is not None:
+        first_chunk = windows.withColumn("_chunk", F.lit(0))
+        rows = chunked.df.join(first_chunk, ["_key", "_chunk"], "left")
     if chunked.split:
-        rows = chunked.attach(_open_windows(chunked, width))
-    else:
-        none = F.lit(None).cast("long")
-        rows = chunked.df.withColumns({"_start": none, "_hits": none})
+        carry = _open_windows(chunked, width, windows).withColumnsRenamed({"_start": "_s", "_hits": "_h"})
+        rows = (rows.join(F.broadcast(carry), ["_key", "_chunk"], "left")
+                .withColumns({"_start": F.coalesce("_s", "_start"), "_hits": F.coalesce("_h", "_hits")})
+                .drop("_s", "_h"))
+    extra = ["start"] if opened is not None else []
     shape = StructType(list(events.schema.fields)).add("n", "long").add("allowed", "boolean")
+    if extra:
+        shape = shape.add("start", "long")
     return (rows.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_t", "_id")
-            .mapInArrow(_count_hits(width, limit, keep), shape))
+            .mapInArrow(_count_hits(width, limit, events.columns, bool(extra)), shape))
 
 
 def rate_count(events: DataFrame, key: str | Column, ts: str, seconds: int = 60) -> DataFrame:

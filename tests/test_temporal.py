@@ -151,3 +151,21 @@ def test_number_rows(spark, rows_per_chunk):
     df = frame(spark, skewed_events(2000, 6, 50))
     got = number_rows(df, ["ts", "id"], "rn", rows_per_chunk).orderBy("ts", "id").collect()
     assert [r["rn"] for r in got] == list(range(1, 2001))
+
+
+@pytest.mark.parametrize("rows_per_chunk", [10**6, 50])
+@pytest.mark.parametrize("spread", [20000, 300])
+def test_rate_limit_goes_on_from_open_windows(spark, rows_per_chunk, spread):
+    events = skewed_events(2000, spread + 1, spread)
+    want = limiter(events, 5, 60)
+    early = [e for e in events if e[1] < spread // 2]
+    late = [e for e in events if e[1] >= spread // 2]
+    none = spark.createDataFrame([], "key string, start long, hits long")
+    options = {"rows_per_chunk": rows_per_chunk}
+    first = T.rate_limit(frame(spark, early), "k", "ts", "id", 5, 60, opened=none, **options).collect()
+    last = {}
+    for r in sorted(first, key=lambda r: (r["ts"], r["id"])):
+        last[r["k"]] = (r["k"], r["start"], r["n"])
+    opened = spark.createDataFrame(list(last.values()), "key string, start long, hits long")
+    second = T.rate_limit(frame(spark, late), "k", "ts", "id", 5, 60, opened=opened, **options).collect()
+    assert {r["id"]: (r["n"], r["allowed"]) for r in first + second} == want
