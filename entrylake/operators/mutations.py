@@ -50,7 +50,7 @@ def register(users: DataFrame, batch: DataFrame, now: datetime | Column, env: st
     top = users.agg(F.max("id")).first()[0]
     fresh = number_rows(judged.where("violations = ''"), ["seq"], "_rn", rows_per_chunk,
                         at_most=batch.count())
-    values = {"id": F.lit(-1 if top is None else top) + F.col("_rn"), "name": F.col("name"),
+    values = {"id": F.lit(0 if top is None else top) + F.col("_rn"), "name": F.col("name"),
               "email": F.col("email"), "password": hash_password(F.col("password")),
               "created_at": now, "updated_at": now}
     new = fresh.select([values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
