@@ -45,13 +45,25 @@ def hash_embed(entries: DataFrame, dim: int = S.EMBEDDING_DIM, id_col: str = "id
                text: str = "body") -> DataFrame:
     """Signed feature hashing of the tokens, sparse: (id, bucket, weight), no zero weights.
 
-    Lexical, not semantic. Token counts are combined before the shuffle.
+    Lexical, not semantic. A text is hashed where it is read and needs no shuffle; ids are
+    unique.
     """
-    codes = entries.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text))).alias("_w")) \
-        .select("id", token_code(F.col("_w"), dim).alias("_c"))
-    sign = F.col("_c").bitwiseAND(1) * 2 - 1
-    return (codes.groupBy("id", F.shiftright("_c", 1).alias("bucket"))
-            .agg(F.sum(sign).alias("weight")).where("weight <> 0"))
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = K.rows_per_matrix(dim)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                rows, matrix = K.code_matrix(part.column("v"), dim)
+                row, bucket = np.nonzero(matrix)
+                weight = matrix[row, bucket].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(rows[row])), pa.array(bucket.astype(np.int32)),
+                     pa.array(weight)], names=["id", "bucket", "weight"])
+
+    coded = entries.where(F.col(text).isNotNull()).select(
+        F.col(id_col).alias("id"), token_codes(F.col(text), dim).alias("v"))
+    id_type = coded.schema["id"].dataType.simpleString()
+    return coded.mapInArrow(kernel, f"id {id_type}, bucket int, weight long")
 
 
 def token_codes(text: Column, dim: int) -> Column:

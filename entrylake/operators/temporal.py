@@ -113,8 +113,8 @@ def _chunk_transitions(width: int):
     One row per group of entry times with the same outcome: an open window that ends at or
     before ``until`` is replaced, and ``exit_start`` / ``exit_hits`` is open after the chunk.
     """
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
+    def kernel(key: tuple, rows: pa.Table) -> pa.Table:
+        t = np.sort(rows.column("_t").to_numpy())
         n = len(t)
         following = np.searchsorted(t, t + width)
         last = np.where(following < n, following, np.searchsorted(t, t))
@@ -124,10 +124,11 @@ def _chunk_transitions(width: int):
                 break
             last = further
         reach = min(n, int(np.searchsorted(t, t[0] + width, side="right")) + 1)
-        ends_run = np.append(last[1:reach] != last[:reach - 1], True)
-        pick = np.flatnonzero(ends_run)
-        return pd.DataFrame({
-            "_key": key[0], "_chunk": key[1], "_rows": n, "until": t[pick],
+        pick = np.flatnonzero(np.append(last[1:reach] != last[:reach - 1], True))
+        same = rows.select(["_key", "_chunk"]).slice(0, 1).to_pylist()[0]
+        return pa.table({
+            "_key": [same["_key"]] * len(pick), "_chunk": pa.array([same["_chunk"]] * len(pick), pa.int32()),
+            "_rows": np.full(len(pick), n), "until": t[pick],
             "exit_start": t[last[pick]], "exit_hits": n - last[pick]})
     return kernel
 
@@ -161,8 +162,8 @@ def _walk_chunks(width: int):
 def _open_windows(chunked: Chunked, width: int, opened: DataFrame) -> DataFrame:
     """(key, chunk, start, hits) of the window that is open where a chunk of a hot key begins."""
     moves = (chunked.hot_rows().select("_key", "_chunk", "_t").groupBy("_key", "_chunk")
-             .applyInPandas(_chunk_transitions(width), "_key string, _chunk int, _rows long, "
-                                                       "until long, exit_start long, exit_hits long"))
+             .applyInArrow(_chunk_transitions(width), "_key string, _chunk int, _rows long, "
+                                                      "until long, exit_start long, exit_hits long"))
     before = chunked.hot.select("_key").join(opened, "_key", "left").withColumnsRenamed(
         {"_start": "first_start", "_hits": "first_hits"})
     # One row per hot key, their number is bounded.

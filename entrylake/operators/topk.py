@@ -136,7 +136,8 @@ def rank_hits(hits: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
             .select("q_id", "rnk", "id", "score"))
 
 
-def _rows_per_matrix(dim: int) -> int:
+def rows_per_matrix(dim: int) -> int:
+    """Rows that are turned into one dense matrix at a time (32 MB)."""
     return max(1, _CELLS_AT_ONCE // dim)
 
 
@@ -152,7 +153,7 @@ def scan(packed: tuple[np.ndarray, np.ndarray], corpus: DataFrame, matrix: Calla
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (q_ids, queries), find = shared.value
         best = Best(q_ids, queries, k, metric, **options)
-        step = _rows_per_matrix(dim)
+        step = rows_per_matrix(dim)
         for batch in batches:
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
@@ -208,7 +209,7 @@ def grid(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k: i
         if left.num_rows and right.num_rows:
             q_rows, q_block = matrix(left.column("v"), dim)
             best = Best(left.column("q_id").to_numpy()[q_rows], q_block, k, metric, **options)
-            step = _rows_per_matrix(dim)
+            step = rows_per_matrix(dim)
             for a in range(0, right.num_rows, step):
                 part = right.slice(a, step)
                 rows, block = matrix(part.column("v"), dim)

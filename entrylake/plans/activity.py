@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import queues as J, temporal as T
-from .inputs import view, with_views
+from .. import schemas as S
+from ..operators import queues as J, temporal as T, users as U
+from .inputs import table, view, with_views
 
 _COLUMNS = ["event_id", "n", "allowed"]
 
 
-def _limited(limit: int, seconds: int, key: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        events = view(spark, d, "attempts").select("event_id", "ts", "email")
-        return T.rate_limit(events, F.lower(key), "ts", "event_id", limit, seconds).select(*_COLUMNS)
-    return run
+def _two_factor(spark: SparkSession, d: str) -> DataFrame:
+    """Challenges of users with two-factor on, limited by the pending login's user."""
+    users = U.two_factor_enabled(view(spark, d, "users"))
+    attempts = view(spark, d, "attempts").select("event_id", "ts", "email")
+    pending = U.lookup_users(attempts, users).where("user_id is not null").drop("email")
+    return T.rate_limit(pending, "user_id", "ts", "event_id", S.TWO_FACTOR_LIMIT,
+                        S.TWO_FACTOR_SECONDS).select(*_COLUMNS)
+
+
+def _password(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("event_id", "ts", "user_id")
+    return T.rate_limit(events, "user_id", "ts", "event_id", S.PASSWORD_LIMIT, S.PASSWORD_SECONDS).select(*_COLUMNS)
 
 
 def _login(spark: SparkSession, d: str) -> DataFrame:
@@ -88,14 +96,14 @@ def _waiting(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sessionize(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.read.parquet(f"{d.rstrip('/')}/events.parquet")
+    events = table(spark, d, "events")
     return T.sessionize(events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id")
 
 
 QUERIES = {
     "rate_limit_login": _login,
-    "rate_limit_two_factor": _limited(5, 60, "email"),
-    "rate_limit_password": _limited(6, 60, "email"),
+    "rate_limit_two_factor": _two_factor,
+    "rate_limit_password": _password,
     "rate_limit_six_hours": _six_hours,
     "token_throttle": _throttle,
     "rate_count": _rate_count,
@@ -147,8 +155,10 @@ select l.event_id, u.id as user_id, l.n, case when not l.allowed then 'limited'
 from limited l join attempts a using (event_id) left join users u on lower(a.email) = lower(u.email)""",
                                   "users attempts"),
     "rate_limit_login": limiter_sql(_LOGIN_KEY, 5, 60, _ALL),
-    "rate_limit_two_factor": limiter_sql("lower(email)", 5, 60, _ALL),
-    "rate_limit_password": limiter_sql("lower(email)", 6, 60, _ALL),
+    "rate_limit_two_factor": limiter_sql("login_id", 5, 60, _ALL, "users attempts", """(
+      select a.event_id, a.ts, u.id as login_id from attempts a join users u on lower(a.email) = lower(u.email)
+      where u.two_factor_secret is not null and u.two_factor_confirmed_at is not null)"""),
+    "rate_limit_password": limiter_sql("user_id", 6, 60, _ALL, "", "events"),
     "rate_limit_six_hours": limiter_sql(_LOGIN_KEY, 5, 21600, _ALL),
     "token_throttle": limiter_sql("lower(email)", 1, 60, _ALL),
     "rate_count": with_views("attempts", """
