@@ -80,7 +80,7 @@ def _run_starts(batch: pa.RecordBatch, names: list[str], previous: pa.RecordBatc
     return first
 
 
-def _count_hits(width: int, limit: int, keep: list[str], with_start: bool):
+def _count_hits(width: int, limit: int, keep: list[str], carried: bool, with_start: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous, open_window = None, None
         for batch in batches:
@@ -90,11 +90,10 @@ def _count_hits(width: int, limit: int, keep: list[str], with_start: bool):
             first = _run_starts(batch, ["_key", "_chunk"], previous)
             t = batch.column("_t").to_numpy()
             entry = {}
-            carry = batch.column("_start")
-            if carry.null_count < n:
-                starts, hits = carry.to_pylist(), batch.column("_hits").to_pylist()
-                entry = {int(i): (starts[i], hits[i]) for i in np.flatnonzero(first)
-                         if starts[i] is not None}
+            if carried and batch.column("_start").null_count < n:
+                runs = pa.array(np.flatnonzero(first))
+                starts, hits = (batch.column(c).take(runs).to_pylist() for c in ("_start", "_hits"))
+                entry = {i: (a, h) for i, a, h in zip(runs.to_pylist(), starts, hits) if a is not None}
             if not first[0]:
                 first[0], entry[0] = True, open_window
             start, hits = window_counts(t, first, entry, width)
@@ -193,22 +192,24 @@ def rate_limit(events: DataFrame, key: str | Column, ts: str, order: str, limit:
     windows = (spark.createDataFrame([], "_key string, _start long, _hits long") if opened is None
                else opened.select(F.col("key").alias("_key"), F.col("start").alias("_start"),
                                   F.col("hits").alias("_hits")))
-    none = F.lit(None).cast("long")
-    rows = chunked.df.withColumns({"_start": none, "_hits": none})
+    rows, carry_columns = chunked.df, []
     if opened is not None:
         first_chunk = windows.withColumn("_chunk", F.lit(0))
         rows = chunked.df.join(first_chunk, ["_key", "_chunk"], "left")
     if chunked.split:
         carry = _open_windows(chunked, width, windows).withColumnsRenamed({"_start": "_s", "_hits": "_h"})
-        rows = (rows.join(F.broadcast(carry), ["_key", "_chunk"], "left")
-                .withColumns({"_start": F.coalesce("_s", "_start"), "_hits": F.coalesce("_h", "_hits")})
-                .drop("_s", "_h"))
-    extra = ["start"] if opened is not None else []
+        rows = rows.join(F.broadcast(carry), ["_key", "_chunk"], "left")
+        before = (F.col("_start"), F.col("_hits")) if opened is not None else (F.lit(None), F.lit(None))
+        rows = rows.withColumns({"_start": F.coalesce(F.col("_s"), before[0].cast("long")),
+                                 "_hits": F.coalesce(F.col("_h"), before[1].cast("long"))})
+    if opened is not None or chunked.split:
+        carry_columns = ["_start", "_hits"]
     shape = StructType(list(events.schema.fields)).add("n", "long").add("allowed", "boolean")
-    if extra:
+    if opened is not None:
         shape = shape.add("start", "long")
     return (rows.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_t", "_id")
-            .mapInArrow(_count_hits(width, limit, events.columns, bool(extra)), shape))
+            .select(*events.columns, "_key", "_chunk", "_t", *carry_columns)
+            .mapInArrow(_count_hits(width, limit, events.columns, bool(carry_columns), opened is not None), shape))
 
 
 def rate_count(events: DataFrame, key: str | Column, ts: str, seconds: int = 60) -> DataFrame:
