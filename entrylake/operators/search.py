@@ -255,7 +255,8 @@ def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tables:
     options = {"skip_self": skip_self, "overlap": False, "floor": None}
     packed = K.pack(queries, K.list_matrix, dim, max_bytes)
     if packed is not None:
-        hits = K.scan(packed, corpus.select("id", "v"), K.list_matrix, dim, k, "cosine",
+        entries = corpus.select(F.col("id").cast("long").alias("id"), "v")
+        hits = K.scan(packed, entries, K.list_matrix, dim, k, "cosine",
                       _Router(assign(packed[1]), assign), **options)
     else:
         hits = K.grid(_in_cells(queries, "q_id", dim, assign), _in_cells(corpus, "id", dim, assign),

@@ -177,8 +177,8 @@ def rate_limit(events: DataFrame, key: str | Column, ts: str, order: str, limit:
     """Keyed rate limit: adds ``n``, the hit number in its window, and ``allowed``.
 
     The first hit of a key opens a window of ``seconds``; a hit at or after its end opens the
-    next one. Events are taken in order of (``ts``, ``order``); ``order`` must be unique.
-    All columns of ``events`` pass through Python, so select the needed ones first. A key
+    next one. Events are taken in order of (``ts``, ``order``); ``order`` must be unique and
+    ``ts`` not null. All columns of ``events`` pass through Python, so select the needed ones first. A key
     of null counts as the empty string. ``opened`` (key, start, hits; start in microseconds,
     at most one row per key) are windows still open from earlier events; with it the column
     ``start`` is added, from which the next ``opened`` can be made.

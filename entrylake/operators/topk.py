@@ -171,20 +171,25 @@ def scan(packed: tuple[np.ndarray, np.ndarray], corpus: DataFrame, matrix: Calla
     return corpus.mapInArrow(kernel, RESULT)
 
 
-def _block_counts(df: DataFrame, block_rows: int, name: str) -> DataFrame:
-    return (df.groupBy("cell").count().where(F.col("count") > block_rows)
-            .select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias(name)))
+def _large_cells(df: DataFrame, block_rows: int, name: str) -> DataFrame | None:
+    """Number of blocks of the cells with more than ``block_rows`` rows; None if there are none.
 
-
-def _with_blocks(df: DataFrame, counts: DataFrame, name: str) -> DataFrame:
-    """Add the number of blocks of each cell. The list of large cells is fetched if it is short
-    (often it is empty); a longer one is joined like any table."""
+    A short list is fetched and broadcast, a longer one is joined like any table.
+    """
+    counts = (df.groupBy("cell").count().where(F.col("count") > block_rows)
+              .select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias(name)))
     listed = counts.limit(_LISTED_CELLS + 1).collect()
     if not listed:
+        return None
+    if len(listed) > _LISTED_CELLS:
+        return counts
+    return F.broadcast(df.sparkSession.createDataFrame(listed, counts.schema))
+
+
+def _with_blocks(df: DataFrame, large: DataFrame | None, name: str) -> DataFrame:
+    if large is None:
         return df.withColumn(name, F.lit(1))
-    if len(listed) <= _LISTED_CELLS:
-        counts = F.broadcast(df.sparkSession.createDataFrame(listed, counts.schema))
-    return df.join(counts, "cell", "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    return df.join(large, "cell", "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
 
 def grid(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k: int, metric: str,
@@ -194,8 +199,8 @@ def grid(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k: i
     A cell with more than ``block_rows`` entries or queries is cut into blocks; each pair of
     blocks is one task's work, so neither a hot cell nor many queries fill a task.
     """
-    shards = _block_counts(corpus, block_rows, "shards")
-    blocks = _block_counts(queries, block_rows, "blocks")
+    shards = _large_cells(corpus, block_rows, "shards")
+    blocks = _large_cells(queries, block_rows, "blocks")
 
     def placed(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
         sized = _with_blocks(_with_blocks(df, shards, "shards"), blocks, "blocks")
@@ -227,7 +232,7 @@ def pack(queries: DataFrame, matrix: Callable, dim: int,
     """The queries (q_id, v) as one matrix, or None if it would exceed ``max_bytes``; counted first."""
     if queries.count() > max_bytes // (8 * dim):
         return None
-    table = queries.select("q_id", "v").toArrow()
+    table = queries.select(F.col("q_id").cast("long").alias("q_id"), "v").toArrow()
     if table.num_rows == 0:
         return np.empty(0, dtype=np.int64), np.empty((0, dim))
     rows, block = matrix(table.column("v"), dim)
@@ -236,12 +241,14 @@ def pack(queries: DataFrame, matrix: Callable, dim: int,
 
 def top_k(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k: int, metric: str,
           max_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
-    """Exact top-k of queries (q_id, v) in corpus (id, v): (q_id, rnk, id, score)."""
+    """Exact top-k of queries (q_id, v) in corpus (id, v): (q_id, rnk, id, score). Ids are integers."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    queries = queries.select(F.col("q_id").cast("long").alias("q_id"), "v")
+    corpus = corpus.select(F.col("id").cast("long").alias("id"), "v")
     packed = pack(queries, matrix, dim, max_bytes)
     if packed is not None:
-        hits = scan(packed, corpus.select("id", "v"), matrix, dim, k, metric, **options)
+        hits = scan(packed, corpus, matrix, dim, k, metric, **options)
     else:
         everywhere = F.lit(0).alias("cell")
         hits = grid(queries.select("q_id", "v", everywhere), corpus.select("id", "v", everywhere),

@@ -169,7 +169,7 @@ from scored where {where} qualify rnk <= 5""")
 
 def _weights(source: str, key: str, text: str) -> str:
     return f"""select key, bucket, sum(sign)::bigint as weight from (
-  select key, ('0x' || substr(h, 1, 8))::bigint % 1536 as bucket,
+  select key, (('0x' || substr(h, 1, 8))::bigint % 1536)::int as bucket,
     case when substr(h, 9, 1) < '8' then 1 else -1 end as sign from (
     select {key} as key, md5(unnest(regexp_extract_all(lower({text}), '\\p{{L}}+'))) as h from {source}))
   group by key, bucket having sum(sign) <> 0"""

@@ -64,7 +64,7 @@ def committed(spark: SparkSession, root: str, name: str) -> list[Row]:
 
 def write_snapshot(df: DataFrame, root: str, name: str, sort_by: list[str] | None = None,
                    upto: int | None = None) -> int:
-    """Write the next version of a table and commit it; returns the version.
+    """Write the next version of a table and commit it; returns the version. One writer at a time.
 
     Data goes to a new folder, so the version being read is never overwritten. A version is
     visible only after its commit record is written; a job that dies leaves no half table.

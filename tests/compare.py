@@ -30,6 +30,10 @@ def _cell(value):
     return str(value)
 
 
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean",
+          "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
+
+
 def difference(spark, con, sf_dir, name):
     """None if equal, else a short description; queries without SQL only have to run."""
     df = catalog.run(spark, sf_dir, name)
@@ -43,6 +47,9 @@ def difference(spark, con, sf_dir, name):
     names = [c[0] for c in cur.description]
     if sorted(names) != got_names:
         return f"columns {got_names} != {sorted(names)}"
+    want_types = {c[0]: _TYPES.get(str(c[1]), str(c[1])) for c in cur.description}
+    if want_types != dict(df.dtypes):
+        return f"types {dict(df.dtypes)} != {want_types}"
     pick = [names.index(c) for c in got_names]
     want = sorted("|".join(_cell(r[i]) for i in pick) for r in cur.fetchall())
     if got == want:

@@ -58,6 +58,13 @@ def test_limiter_ttl_must_exceed_window(spark, events, parts):
         R.stream_rate_limit(source(spark, events, parts), "account", "ts", "event_id", 5, 60, ttl_seconds=60)
 
 
+def test_limiter_with_life_ends_and_equals_batch(spark, events, parts):
+    limited = R.stream_rate_limit(source(spark, events, parts), "account", "ts", "event_id", 5, 7200, ttl_seconds=86400)
+    got = finished(spark, limited, idle_batches=False)
+    want = T.rate_limit(events, "account", "ts", "event_id", 5, 7200)
+    assert {r["id"]: r["n"] for r in got.collect()} == {r["event_id"]: r["n"] for r in want.collect()}
+
+
 @pytest.mark.parametrize("rows_per_chunk", [10**6, 40])
 def test_hot_key_limiter_equals_batch(spark, events, parts, rows_per_chunk):
     root = work_dir(spark, "hot")
