@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..functions.text import token_code, tokens
@@ -87,29 +87,38 @@ def normalize(df: DataFrame, vector: str) -> DataFrame:
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, dim: int, metric: str = "cosine",
-        min_sim: float | None = None, where: DataFrame | None = None, skip_self: bool = False,
+        min_sim: float | None = None, where: DataFrame | Column | None = None, skip_self: bool = False,
         **limits) -> DataFrame:
     """Exact top-k of all queries (q_id, v) in corpus (id, v): (q_id, rnk, id, score).
 
-    ``where`` holds the ids of the entries to search (filter first, then rank). ``min_sim``
+    ``where`` filters before ranking: a condition on columns the corpus carries, which is
+    pushed into the scan, or a DataFrame with the ids to search, which is joined. ``min_sim``
     drops lower scores before ranking; for ``l2`` it is the largest distance. ``skip_self``
     leaves out the entry whose id is the query's. Unusable vectors never enter.
     """
-    if where is not None:
+    if isinstance(where, Column):
+        corpus = corpus.where(where)
+    elif where is not None:
         corpus = corpus.join(where.select("id"), "id", "left_semi")
     floor = -min_sim if metric == "l2" and min_sim is not None else min_sim
     return K.top_k(queries, corpus, K.list_matrix, dim, k, metric, skip_self=skip_self,
                    overlap=False, floor=floor, **limits)
 
 
+def encode_entries(entries: DataFrame, dim: int = S.EMBEDDING_DIM) -> DataFrame:
+    """Entries (id, body) as (id, v) for ``search``; write it once, search it often."""
+    return entries.where("body is not null").select("id", token_codes(F.col("body"), dim).alias("v"))
+
+
 def search(queries: DataFrame, entries: DataFrame, k: int, dim: int = S.EMBEDDING_DIM, **limits) -> DataFrame:
     """Text search: cosine of hashed tokens of queries (q_id, text) and entries (id, body).
 
     Entries that share no bucket with a query are no hits of it. One pass over the entries:
     each text becomes a row of a matrix where it is read, so common words cause no skew.
+    ``entries`` may also be the result of ``encode_entries`` with the same ``dim``.
     """
     q = queries.where("text is not null").select("q_id", token_codes(F.col("text"), dim).alias("v"))
-    c = entries.where("body is not null").select("id", token_codes(F.col("body"), dim).alias("v"))
+    c = entries if "v" in entries.columns else encode_entries(entries, dim)
     return K.top_k(q, c, K.code_matrix, dim, k, "cosine", skip_self=False, overlap=True, floor=None,
                    **limits)
 
@@ -208,7 +217,7 @@ def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_0
     """Inverted-file index: k-means cells of the unit vectors.
 
     The centres are learnt from at most about ``train_rows`` vectors; every vector is then
-    assigned to a cell. Write ``rows`` partitioned by cell to prune the cells not probed.
+    assigned to a cell. ``ivf_save`` keeps it for many searches.
     """
     usable = corpus.where(vector_problem(F.col("v"), dim).isNull())
     unit = normalize(usable.select("id", "v"), "v")
@@ -220,6 +229,21 @@ def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_0
     return IvfIndex(_in_cells(usable, "id", dim, _Cells(centres, 1)), centres)
 
 
+def ivf_save(index: IvfIndex, path: str) -> None:
+    """Write an index below ``path``, one folder per cell; large cells become several files."""
+    spark = index.rows.sparkSession
+    index.rows.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/rows")
+    centres = [(i, c.tolist()) for i, c in enumerate(index.centres)]
+    spark.createDataFrame(centres, "cell long, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+
+
+def ivf_load(spark: SparkSession, path: str) -> IvfIndex:
+    """Read a saved index; a search then reads the folders of the probed cells only."""
+    centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    rows = spark.read.parquet(f"{path}/rows").withColumn("cell", F.col("cell").cast("long"))
+    return IvfIndex(rows, np.array([c["centre"] for c in centres]))
+
+
 def ivf_search(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, metric: str = "cosine",
                skip_self: bool = False, max_bytes: int = K.BROADCAST_BYTES,
                block_rows: int = K.BLOCK_ROWS) -> DataFrame:

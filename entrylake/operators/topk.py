@@ -64,24 +64,28 @@ def _round(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * _DIGITS + 0.5) / _DIGITS + 0.0
 
 
-def _scores(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
-    """Rounded scores (queries x block), larger is better."""
+def _scores(queries: np.ndarray, q2: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
+    """Rounded scores (queries x block), larger is better; ``q2`` are the squared query norms."""
     product = queries @ block.T
     if metric == "inner":
         return _round(product)
-    q2, b2 = np.square(queries).sum(1), np.square(block).sum(1)
+    b2 = np.square(block).sum(1)
     if metric == "cosine":
         return _round(product / (np.sqrt(q2)[:, None] * np.sqrt(b2)[None, :]))
     return -_round(np.sqrt(np.maximum(q2[:, None] + b2[None, :] - 2.0 * product, 0.0)))
 
 
 class Best:
-    """The best k entries seen so far of each query, ties by smaller id."""
+    """The best k entries seen so far of each query, ties by smaller id.
+
+    With ``overlap`` an entry counts only if it shares a non-zero column with the query.
+    """
 
     def __init__(self, q_ids: np.ndarray, queries: np.ndarray, k: int, metric: str,
                  skip_self: bool, overlap: bool, floor: float | None):
         self.q_ids, self.queries, self.k, self.metric = q_ids, queries, k, metric
         self.skip_self, self.overlap, self.floor = skip_self, overlap, floor
+        self.q2 = np.square(queries).sum(1)
         self.q = np.empty(0, dtype=np.int64)
         self.ids = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
@@ -89,29 +93,37 @@ class Best:
 
     def add(self, ids: np.ndarray, block: np.ndarray, only: np.ndarray | None = None) -> None:
         """Score a block against all queries, or against the query positions ``only``."""
-        which = np.arange(len(self.q_ids)) if only is None else only
-        if not len(which) or not len(ids):
+        asked = len(self.q_ids) if only is None else len(only)
+        if not asked or not len(ids):
             return
-        step = max(1, _CELLS_AT_ONCE // len(which))
+        step = max(1, _CELLS_AT_ONCE // asked)
         for a in range(0, len(ids), step):
-            self._add(ids[a:a + step], block[a:a + step], which)
+            self._add(ids[a:a + step], block[a:a + step], slice(None) if only is None else only)
 
-    def _add(self, ids: np.ndarray, block: np.ndarray, which: np.ndarray) -> None:
-        queries, q_ids = self.queries[which], self.q_ids[which]
-        score = _scores(queries, block, self.metric)
-        if self.overlap:
-            shared = (queries != 0).astype(np.float32) @ (block != 0).astype(np.float32).T
-            score[shared == 0] = -np.inf
+    def _bar(self, score: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """What a score must reach to be among the best k of its query."""
+        if score.shape[1] <= self.k:
+            return worst
+        return np.maximum(worst, np.partition(score, -self.k, axis=1)[:, -self.k])
+
+    def _add(self, ids: np.ndarray, block: np.ndarray, which) -> None:
+        queries, q_ids, worst = self.queries[which], self.q_ids[which], self.worst[which]
+        score = _scores(queries, self.q2[which], block, self.metric)
         if self.skip_self:
             score[q_ids[:, None] == ids[None, :]] = -np.inf
         if self.floor is not None:
             score[score < self.floor] = -np.inf
-        bar = self.worst[which]
-        if score.shape[1] > self.k:
-            bar = np.maximum(bar, np.partition(score, -self.k, axis=1)[:, -self.k])
+        bar = self._bar(score, worst)
+        if self.overlap:
+            # Without a shared column the score is 0, so only low bars need the check.
+            low = np.flatnonzero(bar <= 0)
+            if len(low):
+                shared = (queries[low] != 0).astype(np.float32) @ (block != 0).astype(np.float32).T
+                score[low] = np.where(shared > 0, score[low], -np.inf)
+                bar[low] = self._bar(score[low], worst[low])
         q, r = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
         q, new_ids, new_score = (np.concatenate(pair) for pair in (
-            (self.q, which[q]), (self.ids, ids[r]), (self.score, score[q, r])))
+            (self.q, np.arange(len(self.q_ids))[which][q]), (self.ids, ids[r]), (self.score, score[q, r])))
         order = np.lexsort((new_ids, -new_score, q))
         q, new_ids, new_score = q[order], new_ids[order], new_score[order]
         fresh = np.ones(len(q), dtype=bool)

@@ -63,21 +63,23 @@ def committed(spark: SparkSession, root: str, name: str) -> list[Row]:
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, sort_by: list[str] | None = None,
-                   upto: int | None = None) -> int:
+                   partition_by: list[str] | None = None, upto: int | None = None) -> int:
     """Write the next version of a table and commit it; returns the version. One writer at a time.
 
     Data goes to a new folder, so the version being read is never overwritten. A version is
     visible only after its commit record is written; a job that dies leaves no half table.
-    ``sort_by`` sorts inside the files for pruning by row-group statistics; ``upto`` notes
-    the last micro-batch a snapshot has taken in.
+    ``sort_by`` sorts inside the files for pruning by row-group statistics, ``partition_by``
+    makes folders for pruning (a large one gets several files); ``upto`` notes the last
+    micro-batch a snapshot has taken in.
     """
     spark = df.sparkSession
     done = committed(spark, root, name)
     version = done[-1]["version"] + 1 if done else 1
     base = f"{root.rstrip('/')}/{name}"
-    out = df.sortWithinPartitions(*sort_by) if sort_by else df
+    out = df.hint("rebalance", *partition_by) if partition_by else df
+    out = out.sortWithinPartitions(*(partition_by or []), *sort_by) if sort_by else out
     # A folder without a commit is what a failed attempt left behind.
-    out.write.mode("overwrite").parquet(f"{base}/data/v={version}")
+    out.write.partitionBy(*(partition_by or [])).mode("overwrite").parquet(f"{base}/data/v={version}")
     spark.createDataFrame([(version, upto)], "version long, upto long").coalesce(1) \
         .write.mode("append").json(f"{base}/commits")
     return version

@@ -126,6 +126,15 @@ def test_snapshots(spark):
         B.read_snapshot(spark, root, "t", version=9)
 
 
+def test_partitioned_snapshot_prunes(spark):
+    root = work_dir(spark, "test")
+    jobs = spark.range(300).selectExpr("id", "concat('q', id % 3) as queue")
+    B.write_snapshot(jobs, root, "jobs", sort_by=["id"], partition_by=["queue"])
+    one = B.read_snapshot(spark, root, "jobs").where("queue = 'q1'")
+    assert one.count() == 100
+    assert "PartitionFilters: [isnotnull(queue" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_schemas_and_evolution(spark):
     assert S.USERS.names == ["id", "name", "email", "email_verified_at", "password", "two_factor_secret",
                              "two_factor_recovery_codes", "two_factor_confirmed_at", "remember_token", "created_at", "updated_at"]

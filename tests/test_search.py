@@ -72,6 +72,7 @@ def test_knn_filter_before_rank(spark, queries, corpus, vectors):
         if i % 2 == 0 and len(by_query.setdefault(q, [])) < 3:
             by_query[q].append(i)
     assert [g[2] for g in got] == [i for q in sorted(by_query) for i in by_query[q]]
+    assert rows(X.knn(queries, corpus, 3, DIM, where=F.col("id") % 2 == 0)) == got
 
 
 def test_knn_rejects_unknown_metric(queries, corpus):
@@ -98,6 +99,19 @@ def test_ivf_grows_to_exact(queries, corpus):
     assert rows(in_grid) == rows(X.ivf_search(queries, index, 5, 2, skip_self=True))
 
 
+def test_saved_index_reads_probed_cells_only(spark, queries, corpus):
+    from entrylake.session import work_dir
+    path = work_dir(spark, "index")
+    index = X.ivf_build(corpus, DIM, cells=6)
+    X.ivf_save(index, path)
+    loaded = X.ivf_load(spark, path)
+    few = queries.where("q_id = 5")
+    found = X.ivf_search(few, loaded, 5, 1)
+    assert rows(found) == rows(X.ivf_search(few, index, 5, 1)) and found.count() == 5
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [(cast(cell" in plan
+
+
 def test_lsh_plans_agree_and_recall_grows_with_tables(queries, corpus):
     exact = X.knn(queries, corpus, 5, DIM, skip_self=True).cache()
     recall = []
@@ -143,6 +157,7 @@ def test_text_search_equals_brute_force(spark):
     q = spark.createDataFrame(asked, "q_id long, text string")
     want = text_brute(asked, entries, 4, 64)
     assert rows(X.search(q, e, 4, 64)) == want
+    assert rows(X.search(q, X.encode_entries(e, 64), 4, 64)) == want
     assert rows(X.search(q, e, 4, 64, max_bytes=10, block_rows=20)) == want
 
 
