@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 ROWS_PER_CHUNK = 5_000_000
 MAX_CHUNKS = 65_536
 MAX_CHUNKS_PER_KEY = 4_096
-_SAMPLES_PER_CHUNK = 64
+_SAMPLES_PER_CHUNK = 200
 _FANOUT = 64
 
 
@@ -33,7 +33,7 @@ class Chunked:
         return self.hot is not None
 
     def hot_rows(self) -> DataFrame:
-        """Rows of split keys only. The key list is bounded: each has over rows_per_chunk rows."""
+        """Rows of split keys only. There are few such keys: each has about rows_per_chunk rows or more."""
         return self.df.join(F.broadcast(self.hot.select(self.key)), self.key, "left_semi")
 
     def attach(self, carry: DataFrame) -> DataFrame:
@@ -45,9 +45,10 @@ def chunk_hot_keys(df: DataFrame, key: str, order: list[str],
                    rows_per_chunk: int = ROWS_PER_CHUNK, at_most: int | None = None) -> Chunked:
     """Cut hot keys of ``df`` into runs along ``order`` (columns that order rows uniquely).
 
-    Any choice of cut points is correct, so they come from a sample. They are fetched once
-    (at most 2 * MAX_CHUNKS small records) and enter the plan as constants, so every later
-    evaluation, also after a lost executor, puts a row into the same chunk.
+    Any choice of keys and cut points gives a correct result, so both come from a sample. The
+    cut points are fetched once (about MAX_CHUNKS small records at most) and enter the plan as
+    constants, so every later evaluation, also after a lost executor, puts a row into the
+    same chunk.
     ``df`` must be deterministic, ``key`` is one non-null column. ``at_most`` is an upper
     bound of its rows, if that is known more cheaply than by counting.
     """
@@ -59,32 +60,24 @@ def chunk_hot_keys(df: DataFrame, key: str, order: list[str],
     if total <= rows_per_chunk:
         return whole
     target = max(rows_per_chunk, -(-total // MAX_CHUNKS))
-    hot = (df.groupBy(key).count().where(F.col("count") > target)
-           .withColumn("chunks", F.least(F.ceil(F.col("count") / target), F.lit(MAX_CHUNKS_PER_KEY))))
-    hot_rows = hot.collect()
-    if not hot_rows:
-        return whole
-    key_type = df.schema[key].dataType
-    hot_df = spark.createDataFrame(
-        [(r[key], r["count"], int(r["chunks"])) for r in hot_rows],
-        StructType([StructField(key, key_type)]).add("_rows", "long").add("_chunks", "integer"))
-
+    # A sample shows which keys are large and where to cut them; small keys are dropped early.
     fraction = min(1.0, _SAMPLES_PER_CHUNK / target)
-    sample = (df.select(key, F.struct(*order).alias("_o"))
-              .join(F.broadcast(hot_df), key)
-              .sample(fraction, seed=17))
     w = Window.partitionBy(key)
-    cuts = (sample
+    cuts = (df.select(key, F.struct(*order).alias("_o")).sample(fraction, seed=17)
+            .withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") > target * fraction)
             .withColumn("_r", F.row_number().over(w.orderBy("_o")))
-            .withColumn("_n", F.count(F.lit(1)).over(w))
+            .withColumn("_chunks", F.least(F.ceil(F.col("_n") / (target * fraction)), F.lit(MAX_CHUNKS_PER_KEY)))
             .withColumn("_c", F.floor((F.col("_r") - 1) * F.col("_chunks") / F.col("_n")))
-            .groupBy(key, "_c").agg(F.min("_o").alias("_o"))
-            .where("_c > 0").collect())
+            .groupBy(key, "_c").agg(F.min("_o").alias("_o")).where("_c > 0").collect())
+    if not cuts:
+        return whole
     bounds: dict = {}
     for r in cuts:
         bounds.setdefault(r[key], []).append(tuple(r["_o"]))
     for values in bounds.values():
         values.sort()
+    key_type = df.schema[key].dataType
+    hot_df = spark.createDataFrame([(k,) for k in bounds], StructType([StructField(key, key_type)]))
 
     # Two short lookups per hot row instead of one long list.
     order_type = StructType([StructField(c, df.schema[c].dataType) for c in order])
@@ -101,7 +94,7 @@ def chunk_hot_keys(df: DataFrame, key: str, order: list[str],
 
     def passed(bound_list: str) -> Column:
         here = F.struct(*[F.col(c) for c in order])
-        return F.size(F.filter(F.col(bound_list), lambda b: b <= here))
+        return F.array_size(F.filter(F.col(bound_list), lambda b: b <= here))
 
     out = (df.join(F.broadcast(top_df), key, "left")
            .withColumn("_g", passed("_tops"))

@@ -57,11 +57,11 @@ def test_changes(spark, some):
 
 
 def test_code_fences(spark):
-    bodies = {1: "plain", 2: f"a\n{FENCE}php\nx = 1;\n{FENCE}\nb", 3: f"{FENCE}\none\n{FENCE}\n\n{FENCE}sql\ntwo\nlines\n{FENCE}",
+    bodies = {1: "plain", 2: f"a\n{FENCE}js\nx = 1;\n{FENCE}\nb", 3: f"{FENCE}\none\n{FENCE}\n\n{FENCE}sql\ntwo\nlines\n{FENCE}",
               4: f"{FENCE}py\nopen end", 5: f"inline {FENCE}no{FENCE} fence"}
     df = spark.createDataFrame(list(bodies.items()), "id long, body string")
     got = sorted((r["entry_id"], r["pos"], r["lang"], r["content"]) for r in E.extract_code(df).collect())
-    assert got == [(2, 0, "php", "x = 1;\n"), (3, 0, None, "one\n"), (3, 1, "sql", "two\nlines\n"), (4, 0, "py", "open end")]
+    assert got == [(2, 0, "js", "x = 1;\n"), (3, 0, None, "one\n"), (3, 1, "sql", "two\nlines\n"), (4, 0, "py", "open end")]
 
 
 def test_links(spark):
