@@ -60,14 +60,14 @@ def hash_embed(entries: DataFrame, dim: int = S.EMBEDDING_DIM, id_col: str = "id
                     [part.column("id").take(pa.array(rows[row])), pa.array(bucket.astype(np.int32)),
                      pa.array(weight)], names=["id", "bucket", "weight"])
 
-    coded = entries.where(F.col(text).isNotNull()).select(
-        F.col(id_col).alias("id"), token_codes(F.col(text), dim).alias("v"))
-    id_type = coded.schema["id"].dataType.simpleString()
-    return coded.mapInArrow(kernel, f"id {id_type}, bucket int, weight long")
+    split = entries.where(F.col(text).isNotNull()).select(
+        F.col(id_col).alias("id"), tokens(F.col(text)).alias("v"))
+    id_type = split.schema["id"].dataType.simpleString()
+    return split.mapInArrow(kernel, f"id {id_type}, bucket int, weight long")
 
 
 def token_codes(text: Column, dim: int) -> Column:
-    """The tokens of a text as small integers, for ``topk.code_matrix``."""
+    """The tokens of a text as small integers, smaller to store than the tokens."""
     return F.transform(tokens(text), lambda w: token_code(w, dim))
 
 
@@ -106,7 +106,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, dim: int, metric: str = "
 
 
 def encode_entries(entries: DataFrame, dim: int = S.EMBEDDING_DIM) -> DataFrame:
-    """Entries (id, body) as (id, v) for ``search``; write it once, search it often."""
+    """Entries (id, body) as (id, v) for ``search``, v being token codes; write it once, search it often."""
     return entries.where("body is not null").select("id", token_codes(F.col("body"), dim).alias("v"))
 
 
@@ -117,8 +117,10 @@ def search(queries: DataFrame, entries: DataFrame, k: int, dim: int = S.EMBEDDIN
     each text becomes a row of a matrix where it is read, so common words cause no skew.
     ``entries`` may also be the result of ``encode_entries`` with the same ``dim``.
     """
-    q = queries.where("text is not null").select("q_id", token_codes(F.col("text"), dim).alias("v"))
-    c = entries if "v" in entries.columns else encode_entries(entries, dim)
+    q = queries.where("text is not null").select("q_id", tokens(F.col("text")).alias("v"))
+    c = entries
+    if "v" not in entries.columns:
+        c = entries.where("body is not null").select("id", tokens(F.col("body")).alias("v"))
     return K.top_k(q, c, K.code_matrix, dim, k, "cosine", skip_self=False, overlap=True, floor=None,
                    **limits)
 

@@ -10,6 +10,7 @@ a block of queries and emits at most k rows per query. Two ways to bring them to
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,12 +46,22 @@ def list_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], matrix[good]
 
 
+def _word_codes(words: pa.Array, dim: int) -> np.ndarray:
+    """``functions.text.token_code`` of many tokens; each different one is hashed once."""
+    coded = words.dictionary_encode()
+    digests = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+    table = np.array([int(h[:8], 16) % dim * 2 + (h[8] < "8") for h in digests], dtype=np.int64)
+    return table[coded.indices.to_numpy()] if len(table) else np.empty(0, dtype=np.int64)
+
+
 def code_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed bags of tokens: each list element is 2 * bucket, plus 1 for a positive sign."""
+    """Hashed bags of tokens, from lists of tokens or of their codes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = np.asarray(column.offsets)
-    codes = column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].astype(np.int64)
+    values = column.values[offsets[0]:offsets[-1]]
+    codes = (_word_codes(values, dim) if pa.types.is_string(values.type)
+             else values.to_numpy(zero_copy_only=False).astype(np.int64))
     row = np.repeat(np.arange(len(column)), np.diff(offsets))
     cells = np.bincount(row * dim + (codes >> 1), weights=2.0 * (codes & 1) - 1.0,
                         minlength=len(column) * dim)
