@@ -207,6 +207,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     member = components(near_pairs(classes.select("fp"))).withColumnRenamed("node", "fp")
     stay = (classes.join(member, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
             .agg(F.min("first").alias("first")).select(F.col("first.d").alias("_d"), F.col("first.o").alias("_o")))
-    return (docs.withColumn("_own", own).join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_o")))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_own"))
+    return (whole.join(stay, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_o")))
             .withColumn("_copy", F.row_number().over(Window.partitionBy("_d", "_o").orderBy("_o")))
-            .where("_copy = 1").select(*docs.columns))
+            .where("_copy = 1").select("_row.*"))

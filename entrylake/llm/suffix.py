@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .common import raw, stored
 
@@ -346,7 +347,8 @@ def kept_parts(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
 
 
 def with_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` (doc_id long, text string, any others) and ``_spans``, an unordered array of (lo, hi) of repeated bytes, or null.
+    """``docs`` (doc_id long, text string) and ``_spans``, an unordered array of (lo, hi) of repeated bytes, or null. No other column may begin
+    with an underscore, but for ``_rest``.
 
     Null and empty texts have none. Repeated rows repeat each other, so long ones are covered whole. Ids may be null or repeat.
     """
@@ -381,9 +383,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            at = batch.schema.get_field_index("text")
             made = []
-            for data, spans in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for data, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 if data is not None and spans:
                     runs = []
                     for s, e in merged(spans):
@@ -394,7 +395,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                         runs.append((s, e))
                     data = b"".join(kept_parts(data, runs))
                 made.append(None if data is None else data.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)],
-                                             names=batch.schema.names[:-1])
-    out = with_spans(docs, width).mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["_rest", "text"])
+
+    # The other columns travel in one, so that their names meet none of those used here.
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest")
+    marked = with_spans(docs.select("doc_id", "text", rest), width).select("_rest", "text", "_spans")
+    out = marked.mapInArrow(run, StructType([marked.schema["_rest"], docs.schema["text"]]))
+    out = out.select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

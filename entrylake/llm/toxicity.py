@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, max_char
     return train([(r["text"], r["_toxic"]) for r in sample])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``_score``; null and empty texts have a score too."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with one column more, ``name``; null and empty texts have a score too."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))  # one number per bucket
     at = docs.columns.index(text)
 
@@ -171,17 +171,18 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(Model(*shared.value))
         for batch in stream:
             made = pa.array([scorer(t) for t in texts(batch.column(at))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "_score"])
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score", DoubleType()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; repeated rows each have one, an empty table gives none."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-                         (F.col("_score") >= reject).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= reject).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """The rows of ``docs`` below the score ``reject``."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") < reject).select(*docs.columns)
+    name = "score" + "_" * max(map(len, docs.columns))  # longer than any other
+    return score(docs, fit(docs, labels), name=name).where(F.col(name) < reject).select(*docs.columns)
