@@ -51,7 +51,7 @@ p as (
   select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts),
 named as (
-  select host, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\\.*$', '') as name from (select distinct host from p)),
+  select host, regexp_replace(regexp_replace(host, '^.*@', ''), '[.]*(:[0-9]*)?$', '') as name from (select distinct host from p)),
 suffixed as (
   select host, name, case when regexp_matches(name, '^[0-9.]+$|^\\[') then name
     else regexp_extract(name, '(?:^|\\.)((?:{_SECOND})\\.[a-z][a-z]|[^.]*)$', 1) end as suffix from named),

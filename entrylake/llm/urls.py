@@ -47,7 +47,7 @@ def path_of(url: Column) -> Column:
 
 def name_of(host: Column) -> Column:
     """The host without user, port and closing dots."""
-    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"(:[0-9]*)?\.*$", "")
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"[.]*(:[0-9]*)?$", "")
 
 
 def suffix_of(name: Column) -> Column:

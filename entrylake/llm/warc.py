@@ -162,7 +162,14 @@ def write_record(record: dict) -> bytes:
 
 
 def read_records(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or as gzip members; reading ends at the first one that is cut off."""
+    """Records of a WARC file, plain or as gzip members; reading ends at the first one that is cut off or damaged."""
+    try:
+        yield from _read(data)
+    except (EOFError, gzip.BadGzipFile, zlib.error, ValueError):
+        return
+
+
+def _read(data: bytes) -> Iterator[dict]:
     stream: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while True:
         line = stream.readline()
@@ -173,8 +180,10 @@ def read_records(data: bytes) -> Iterator[dict]:
         record: dict = dict.fromkeys(_SCHEMA.names)
         extra: list[tuple[str, str]] = []
         size = 0
-        while (line := stream.readline().decode("utf-8", "replace").rstrip("\r\n")):
-            name, _, value = line.partition(":")
+        while (line := stream.readline()).strip():
+            if not line.endswith(b"\n"):
+                return
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             value = value.strip()
             if name.lower() == "content-length":
                 size = int(value)
@@ -182,6 +191,8 @@ def read_records(data: bytes) -> Iterator[dict]:
                 record[field] = value
             else:
                 extra.append((name, value))
+        if not line:
+            return
         record["block"] = stream.read(size)
         if len(record["block"]) < size:
             return

@@ -119,8 +119,10 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.write_record(r)) for r in records))
     (tmp_path / "c.warc").write_bytes(whole[:-30])
     (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(warc.write_record(records[0])) + gzip.compress(warc.write_record(records[1]))[:-40])
+    (tmp_path / "f.warc").write_bytes(b"WARC/1.1\r\nContent-Length: x\r\n\r\n")
     read = warc.parse(spark.read.format("binaryFile").load(str(tmp_path))).collect()
-    assert sorted(r.record_id[-2] for r in read) == list("11122233")
+    assert sorted(r.record_id[-2] for r in read) == list("111122233")
     assert {(r.record_id, bytes(r.block), tuple(r.headers.items())) for r in read} == {(r["record_id"], r["block"], tuple(r["headers"])) for r in records}
     made = warc.derivatives(warc.parse(spark.read.format("binaryFile").load(str(tmp_path / "a.warc"))))
     again = [x for r in warc.serialize(made).collect() for x in warc.read_records(bytes(r.warc))]
