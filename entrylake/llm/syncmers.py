@@ -22,6 +22,7 @@ from .common import stored, texts
 
 K, S = 24, 9
 SKETCH = 64
+_SEGMENT = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,6 +52,10 @@ def anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.n
     A text shorter than ``k`` has one anchor, itself; an empty one has none. Of equal s-mers each counts as smallest, so
     a run of one character has an anchor at every place.
     """
+    if len(codes) > _SEGMENT + k - 1:
+        # No anchor depends on what lies outside its k-mer, so long texts are read in segments.
+        parts = [(start, *anchors(codes[start:start + _SEGMENT + k - 1], k, s)) for start in range(0, len(codes) - k + 1, _SEGMENT)]
+        return np.concatenate([start + at for start, at, _ in parts]), np.concatenate([h for _, _, h in parts])
     codes = codes.astype(np.uint64) + np.uint64(1)
     n = len(codes) - k + 1
     if n <= 0:

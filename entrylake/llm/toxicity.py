@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import texts
+from .common import stored, texts
 
 #: Most labelled texts, and most characters of them, that the model is fitted on. The texts with the smallest hashes are taken.
 MAX_TEXTS = 4_000
@@ -141,25 +141,27 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS) -> Model:
     """Learn from labelled rows of ``docs`` (doc_id, text) that are not held out; ``labels`` has doc_id and toxic (0 or 1).
 
-    Null labels and null texts are passed over. At most ``max_texts`` texts with ``max_chars`` characters in all come to the driver, those with
-    the smallest hashes of their ids; texts longer than a fiftieth of ``max_chars`` are not among them. Ids that repeat are taken once.
+    Null labels and null texts are passed over. The ``max_texts`` labelled rows with the smallest hashes of their ids are taken, in that order until
+    their texts have ``max_chars`` characters in all; texts longer than a fiftieth of that are left out, ids that repeat are taken once. Only
+    these come to the driver.
     """
     known = (labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("toxic").alias("_toxic")))
-    sized = (docs.select("doc_id", F.length("text").alias("_chars")).where(F.col("_chars").between(1, max_chars // 50))
-             .groupBy("doc_id").agg(F.max("_chars").alias("_chars")))
-    order = F.xxhash64("doc_id")
-    chosen, chars = [], 0
-    for row in known.join(sized, "doc_id").select("doc_id", "_chars", order.alias("h")).orderBy("h", "doc_id").limit(max_texts).collect():
-        chars += row["_chars"]
+             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    # The choice needs ids only; then one scan fetches the texts of the chosen ones.
+    chosen = (known.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+              .orderBy("h", "doc_id").limit(max_texts))
+    sample = stored(docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id"), "labelled")
+    taken, chars = [], 0
+    sizes = sample.groupBy("h", "doc_id").agg(F.max(F.length("text")).alias("n")).where(F.col("n") <= max_chars // 50).orderBy("h", "doc_id")
+    for row in sizes.collect():
+        chars += row["n"]
         if chars > max_chars:
             break
-        chosen.append((row["doc_id"],))
-    few = docs.sparkSession.createDataFrame(chosen, "doc_id long")
-    sample = (docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(few), "doc_id")
-              .groupBy("doc_id").agg(F.max("text").alias("text"))
-              .join(known, "doc_id").orderBy("doc_id").select("text", "_toxic").collect())
-    return train([(r["text"], r["_toxic"]) for r in sample])
+        taken.append((row["doc_id"],))
+    few = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    texts_of = (sample.where(F.length("text") <= max_chars // 50).join(F.broadcast(few), "doc_id")
+                .groupBy("h", "doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("h", "doc_id"))
+    return train([(r["text"], r["toxic"]) for r in texts_of.collect()])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

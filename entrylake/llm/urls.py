@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored
+
 #: Lower posterior bound: mean less so many standard deviations.
 SIGMAS = 1.645
 LIMIT = 0.5
@@ -71,8 +73,8 @@ def reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     counted = (outcomes.where("bad is not null").groupBy(F.coalesce("host", F.lit("")).alias("host"))
                .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("b")))
     name = hosts.select("host", name_of(F.col("host")).alias("name")).withColumn("suffix", suffix_of(F.col("name")))
-    at_host = (name.withColumn("domain", domain_of(F.col("name"), F.col("suffix"))).join(counted, "host", "left")
-               .select("host", "domain", "suffix", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("b", F.lit(0.0)).alias("b")))
+    at_host = stored(name.withColumn("domain", domain_of(F.col("name"), F.col("suffix"))).join(counted, "host", "left")
+                     .select("host", "domain", "suffix", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("b", F.lit(0.0)).alias("b")), "hosts")
     at_domain = at_host.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
     at_suffix = at_domain.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     total = at_suffix.agg(F.sum("sn").alias("n"), F.sum("sb").alias("b")).first()
@@ -128,10 +130,10 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit:
     bad if any is. A table without rows gives none, one without outcomes blocks by rules only.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = parts.select("host").distinct()
+    hosts = stored(parts.select("host").distinct(), "hosts")
     known = outcomes.where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     score = reputation(parts.join(known, "page_id").select("host", "bad"), hosts)
-    facts = hosts.join(score, "host", "left").join(rules_by_host(hosts, rules), "host", "left")
+    facts = score.join(rules_by_host(hosts, rules), "host", "left")
     best = F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["path"])))
     own = F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return (parts.join(facts, "host", "left").withColumn("best", best)

@@ -92,6 +92,14 @@ def test_anchors_against_definition(text):
     assert syncmers.anchors(codes)[0].tolist() == plain_syncmers(codes, syncmers.K, syncmers.S)
 
 
+def test_long_texts_are_read_in_segments(monkeypatch):
+    codes = syncmers.code_points(prose(5, 300))
+    at, h = syncmers.anchors(codes)
+    monkeypatch.setattr(syncmers, "_SEGMENT", 50)
+    parts = syncmers.anchors(codes)
+    assert (at == parts[0]).all() and (h == parts[1]).all()
+
+
 def test_anchors_do_not_depend_on_what_surrounds():
     passage = prose(1, 80)
     a, b = prose(2, 30) + passage + prose(3, 10), prose(4, 55) + passage
