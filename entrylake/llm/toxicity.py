@@ -12,21 +12,20 @@ the two softmax weights.
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import stored, texts
+from .common import stored
 
 #: Most labelled texts, and most characters of them, that the model is fitted on. The texts with the smallest hashes are taken.
-MAX_TEXTS = 4_000
-MAX_CHARS = 14_000_000
+MAX_TEXTS = 2_000
+MAX_CHARS = 6_500_000
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -34,16 +33,43 @@ REJECT = 0.3
 #: Buckets that fewer texts of the sample have stay at zero.
 MIN_TEXTS = 5
 _ROUNDS = 80
-_REMEMBERED = 200_000
+_AT_ONCE = 20_000
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EDGES = "\"'.,;:!?()[]{}<>|*#&%$@^~`+-=_/\\"
 
 
-def buckets(word: str) -> list[int]:
-    """Buckets of a word: its n-grams and the word itself. ASCII punctuation at its ends does not count, unless it is all there is."""
-    core = word.strip(_EDGES) or word
-    marked = f"<{core}>"
-    grams = {marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket) of the n-grams of all words and of the words themselves, in order of the owners; each word has one at least.
+
+    ASCII punctuation at the ends of a word does not count, unless it is all there is. All words are hashed at once.
+    """
+    marked = [f"<{w.strip(_EDGES) or w}>" for w in words]
+    size = np.array([len(m) for m in marked])
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    end = np.cumsum(size)
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(end, size) - np.arange(len(code))
+    power = _ODD ** np.arange(int(size.max()) + 1, dtype=np.uint64)
+    owners, hashes = [np.arange(len(words))], [np.add.reduceat(code * power[left], end - size)]
+    gram = np.zeros(len(code), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        gram = gram[:len(code) - n + 1] * _ODD + code[n - 1:]
+        if n in GRAMS:
+            whole = np.flatnonzero(left[:len(gram)] >= n)
+            owners.append(owner[whole])
+            hashes.append(gram[whole] + np.uint64(n))
+        gram = gram[:-1]
+    owner, h = np.concatenate(owners), np.concatenate(hashes)
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    order = np.argsort(owner, kind="stable")
+    return owner[order], (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)[order]
+
+
+def coded_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Lower-case words of all texts, each different one held once, and where each text's words begin (and end). White space at
+    the ends of a text gives empty words."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    return lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
 
 
 @dataclass
@@ -56,22 +82,31 @@ class Model:
 
 def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     """Fit on (text, 0 or 1). Texts without words are passed over; with one class or none, scores are a constant."""
-    words = [(t.lower().split(), int(y)) for t, y in sample]
-    words = [(w, y) for w, y in words if w]
-    y = np.array([b for _, b in words], float)
+    # Numbers from the start: the driver holds no millions of strings.
+    words, bounds = coded_words(pa.array([t for t, _ in sample], pa.string()))
+    places = words.dictionary.to_pylist()
+    token = words.indices.to_numpy().astype(np.int64)
+    of_text = np.repeat(np.arange(len(sample)), np.diff(bounds))
+    if "" in places:
+        real = token != places.index("")
+        token, of_text = token[real], of_text[real]
+    kept, n_words = np.unique(of_text, return_counts=True)
+    y = np.array([sample[i][1] for i in kept], float)
     share = (y.sum() + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    places: dict[str, int] = {}
-    token = np.array([places.setdefault(w, len(places)) for text, _ in words for w in text])
-    bags = [buckets(w) for w in places]
-    size = np.array([len(b) for b in bags])
-    bag = np.array([b for x in bags for b in x])
-    n_words = np.array([len(t) for t, _ in words])
+    n_places = len(places)
+    sizes, parts = [], []
+    for start in range(0, n_places, _AT_ONCE):
+        owner, bag = bags(places[start:start + _AT_ONCE])
+        sizes.append(np.bincount(owner))
+        parts.append(bag)
+    size, bag = np.concatenate(sizes), np.concatenate(parts)
+    del words, places, owner, parts
     first = np.cumsum(n_words) - n_words
     of_text = np.repeat(np.arange(len(y)), n_words)
     bag_start = np.cumsum(size) - size
-    texts_with = np.bincount(np.unique(token * len(y) + of_text) // len(y), minlength=len(places))
+    texts_with = np.bincount(np.unique(token * len(y) + of_text) // len(y), minlength=n_places)
     common = np.bincount(bag, np.repeat(texts_with, size), BUCKETS) >= MIN_TEXTS
     used = np.flatnonzero(common)
     bag = np.where(common, np.cumsum(common) - 1, len(used))[bag]  # the last vector is that of all rare buckets: zero
@@ -79,10 +114,10 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     balance = np.where(y == 1, min(4.0, (len(y) - y.sum()) / y.sum()), 1.0)
 
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (len(used) + 1, DIM))
+    vectors = rng.normal(0, 0.1, (len(used) + 1, DIM)).astype(np.float32)
     vectors[-1] = 0
-    softmax = rng.normal(0, 0.3, (DIM, 2))
-    bias = np.zeros(2)
+    softmax = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
+    bias = np.zeros(2, np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, softmax, bias)]
     for turn in range(1, _ROUNDS + 1):
         sharp = 0.1 * 1.08 ** turn
@@ -93,8 +128,8 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
         share_of = e / np.add.reduceat(e, first)[of_text]
         p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(share_of * z, first), -30, 30)))
         slope = balance * (p - y) / len(y)
-        to_word = np.bincount(token, slope[of_text] * share_of, len(places)) / size
-        to_bucket = np.bincount(bag, np.repeat(to_word, size), len(used) + 1)
+        to_word = np.bincount(token, slope[of_text] * share_of, n_places) / size
+        to_bucket = np.bincount(bag, np.repeat(to_word, size), len(used) + 1).astype(np.float32)
         to_bucket[-1] = 0
         along = vectors.T @ to_bucket
         grads = (to_bucket[:, None] * difference[None, :], np.stack([-along, along], axis=1),
@@ -106,7 +141,8 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
             v *= 0.98
             v += 0.02 * grad * grad
             usual = np.sqrt(v / (1 - 0.98 ** turn))
-            param -= 0.08 * (m / (1 - 0.9 ** turn)) / (usual + damp * usual.max() + 1e-9)
+            usual += damp * usual.max() + 1e-9
+            param -= np.float32(0.08 / (1 - 0.9 ** turn)) * m / usual
     weight = np.zeros(BUCKETS)
     weight[used] = (vectors @ (softmax[:, 1] - softmax[:, 0]))[:-1]
     return Model(weight, float(bias[1] - bias[0]))
@@ -117,20 +153,28 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self._model = model
-        self._known: dict[str, float] = {}
-
-    def _word(self, word: str) -> float:
-        value = float(self._model.weight[buckets(word)].mean())
-        if len(word) <= 40 and len(self._known) < _REMEMBERED:
-            self._known[word] = value
-        return value
 
-    def __call__(self, text: str) -> float:
-        """Probability of class 1; a text without words has that of the bias alone."""
-        words = text.lower().split()
-        known = self._known
-        log_odds = self._model.bias + (max([known[w] if w in known else self._word(w) for w in words]) if words else 0.0)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, log_odds))))
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log odds of each word, without the bias; minus infinity for an empty one."""
+        out = np.full(len(words), -np.inf)
+        for start in range(0, len(words), _AT_ONCE):
+            part = words[start:start + _AT_ONCE]
+            owner, bucket = bags(part)
+            out[start:start + len(part)] = np.bincount(owner, self._model.weight[bucket]) / np.bincount(owner)
+        if "" in words:
+            out[words.index("")] = -np.inf
+        return out
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        """Probability of class 1 of each text; one without words has that of the bias alone."""
+        words, bounds = coded_words(texts)
+        value = self.words(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        log_odds = np.full(len(texts), self._model.bias)
+        some = np.flatnonzero(np.diff(bounds))
+        if len(some):
+            most = np.maximum.reduceat(value, bounds[some])
+            log_odds[some] += np.where(np.isfinite(most), most, 0)
+        return 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,7 +216,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shared.value))
         for batch in stream:
-            made = pa.array([scorer(t) for t in texts(batch.column(at))], pa.float64())
+            made = pa.array(scorer(batch.column(at)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 

@@ -44,8 +44,9 @@ def test_toxicity_held_out_and_misspelled(spark):
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     model = toxicity.fit(documents(spark, rows), marks)
-    score = toxicity.Scorer(model)
-    assert all(score(f"ab cd {w} ef") >= 0.3 for w in ("idiotz", "xmoron", "stupiid", "Stupid!")) and score("") < 0.3 and score("ab cd ef") < 0.3
+    some = [f"ab cd {w} ef" for w in ("idiotz", "xmoron", "stupiid", "Stupid!")] + ["", " ", None, "ab cd ef"]
+    score = toxicity.Scorer(model)(pa.array(some, pa.string()))
+    assert (score[:4] >= 0.3).all() and (score[4:] < 0.3).all() and score[4] == score[5] == score[6]
 
 
 def test_labels_outside_training_do_not_matter(spark):
