@@ -25,8 +25,10 @@ from embeddings e join least l on l.a = e.vec_id left join degree d on d.a = e.v
 _SUFFIX = """
 with t as (select doc_id, encode(coalesce(text, '')) as b from documents),
 h as (select doc_id, hex(b) as h, octet_length(b) as n from t),
-w as (select doc_id, h, unnest(range(0, n - 399)) as s from h where n >= 400),
-k as (select doc_id, s, md5(substr(h, 2 * s + 1, 800)) as k from w),
+c as (select doc_id, n, h, unnest(range(0, n - 399, 500)) as c from h where n >= 400),
+p as (select doc_id, n, c, substr(h, 2 * c + 1, 2 * 899) as h from c),
+w as (select doc_id, c, h, unnest(range(0, least(500, n - 399 - c))) as s from p),
+k as (select doc_id, c + s as s, md5(substr(h, 2 * s + 1, 800)) as k from w),
 twice as (select k from k group by k having count(*) > 1),
 marked as (select doc_id, s, s - lag(s) over (partition by doc_id order by s) as gap from k where k in (select k from twice)),
 numbered as (select doc_id, s, sum(case when gap <= 400 then 0 else 1 end) over (partition by doc_id order by s) as r from marked),
