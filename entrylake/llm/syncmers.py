@@ -90,9 +90,14 @@ def sketch(codes: np.ndarray) -> np.ndarray:
     return h[:SKETCH]
 
 
+def packed(fingerprint: np.ndarray) -> bytes:
+    """A fingerprint as bytes, four for each hash."""
+    return fingerprint.astype(">u4").tobytes()
+
+
 def written(fingerprint: np.ndarray) -> str:
     """A fingerprint as hex digits, eight for each hash."""
-    return fingerprint.astype(">u4").tobytes().hex()
+    return packed(fingerprint).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -114,9 +119,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-_RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-           ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_RESULT_SQL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+_RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+           ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_RESULT_SQL = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
                "near_edited double, near_next double")
 
 
@@ -124,12 +129,12 @@ def _compare(doc_id: int | None, codes: np.ndarray, own: np.ndarray, after: np.n
     half = len(codes) // 2
     edited = np.concatenate([codes[:len(codes) - half], after[:half]])
     changed = sketch(edited)
-    return (doc_id, len(codes), hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest(), written(own), written(changed),
+    return (doc_id, len(codes), hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).digest(), packed(own), packed(changed),
             likeness(own, changed), likeness(own, after_sketch))
 
 
 def edit_study(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and their likeness; columns as in ``_RESULT``.
+    """Fingerprints of every text, of its edited text, and their likeness; columns as in ``_RESULT``, bytes as hex digits.
 
     The edited text ends in the beginning of the next document by falling doc_id (after the last: the first); its last half
     makes room for it. Null texts count as empty, null ids come last, rows of one id are ordered by their text. A single row follows itself.
@@ -163,8 +168,9 @@ def edit_study(docs: DataFrame) -> DataFrame:
     made = stored(ordered.mapInArrow(run, _RESULT_SQL + ", part int, edge string, text string"), "syncmers")
     # Two rows per partition. The next of a part is the next one with rows, and of the last part the first one.
     parts = [r[0] for r in made.where("edge = 'first'").select("part").orderBy("part").collect()]
+    columns = [F.lower(F.hex(n)).alias(n) if kind == pa.binary() else F.col(n) for n, kind in _RESULT]
     if not parts:
-        return made.select(*[n for n, _ in _RESULT])
+        return made.select(*columns)
     following = docs.sparkSession.createDataFrame([*zip(parts, parts[1:] + parts[:1])], "part int, next int")
     last = made.where("edge = 'last'").select("doc_id", "text", "part").join(F.broadcast(following), "part")
     first = made.where("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
@@ -178,4 +184,4 @@ def edit_study(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _RESULT)], names=[n for n, _ in _RESULT])
     return made.where("edge is null").select(*[n for n, _ in _RESULT]).unionByName(
-        last.join(first, "next").select("doc_id", "text", "after").mapInArrow(close, _RESULT_SQL))
+        last.join(first, "next").select("doc_id", "text", "after").mapInArrow(close, _RESULT_SQL)).select(*columns)
