@@ -20,6 +20,7 @@ SIGMAS = 1.645
 LIMIT = 0.5
 #: A prior weighs as much as so many pages, at least and at most.
 WEIGHT = (1.0, 10_000.0)
+MANY = 1000
 #: Second-level labels that belong to the suffix below a country's domain (fixed values).
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
 
@@ -130,11 +131,16 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit:
     bad if any is. A table without rows gives none, one without outcomes blocks by rules only.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = stored(parts.select("host").distinct(), "hosts")
+    hosts = stored(parts.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
     known = outcomes.where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     score = reputation(parts.join(known, "page_id").select("host", "bad"), hosts)
-    facts = score.join(rules_by_host(hosts, rules), "host", "left")
+    facts = stored(score.join(hosts, "host").join(rules_by_host(hosts, rules), "host", "left"), "host-facts")
+    # A host with more than a MANY-th of all pages is joined by broadcast: there are fewer than MANY. The others are joined by shuffling.
+    often = F.col("pages") * MANY > (hosts.agg(F.sum("pages")).first()[0] or 0)
+    common = F.broadcast(facts.where(often))
+    known_host = (parts.join(common, "host").unionByName(
+        parts.join(common.select("host"), "host", "left_anti").join(facts.where(~often), "host")))
     best = F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["path"])))
     own = F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
-    return (parts.join(facts, "host", "left").withColumn("best", best)
+    return (known_host.withColumn("best", best)
             .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", own).alias("verdict")))
