@@ -206,8 +206,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     classes = stored(prints.groupBy("fp").agg(F.min(rank).alias("first")), "classes")
     member = components(near_pairs(classes.select("fp"))).withColumnRenamed("node", "fp")
     stay = (classes.join(member, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
-            .agg(F.min("first").alias("first")).select(F.col("first.d").alias("_d"), F.col("first.o").alias("_o")))
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_own"))
-    return (whole.join(stay, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_o")))
-            .withColumn("_copy", F.row_number().over(Window.partitionBy("_d", "_o").orderBy("_o")))
+            .agg(F.min("first").alias("first")))
+
+    def key(doc_id: Column, text_hash: Column) -> list[Column]:
+        return [doc_id.isNull().alias("_n"), F.coalesce(doc_id, F.lit(0)).alias("_d"), text_hash.alias("_o")]
+
+    at = ["_n", "_d", "_o"]
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), *key(F.col("doc_id"), own))
+    # Join and window share one shuffle of the texts.
+    return (whole.join(stay.select(*key(F.col("first.d"), F.col("first.o"))), at)
+            .withColumn("_copy", F.row_number().over(Window.partitionBy(*at).orderBy("_o")))
             .where("_copy = 1").select("_row.*"))
