@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 
 #: Words are remembered up to this length, up to this number per task.
 _SHORT, _REMEMBERED = 48, 150_000
+#: Texts whose tokens are counted at once.
+_COUNTED = 500
 
 
 def byte_alphabet() -> list[str]:
@@ -179,17 +181,22 @@ class Encoder:
 
         No word, special token or composed character holds ASCII white space, so what stands between is encoded once a batch.
         """
-        words = pc.ascii_split_whitespace(texts.fill_null(""))
-        coded = words.flatten().dictionary_encode()
-        tokens = [self._chunk(w) for w in coded.dictionary.to_pylist()]
+        dictionary, index, bounds = _coded(texts)
+        tokens = [self._chunk(w) for w in dictionary]
         sizes = np.array([len(t) for t in tokens], np.int64)
         flat = np.fromiter(chain.from_iterable(tokens), np.int32, int(sizes.sum()))
-        starts, index = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
-        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        starts = np.cumsum(sizes) - sizes
         for s, e in zip(bounds[:-1], bounds[1:]):
             for_words = index[s:e]
             yield flat[_places(starts[for_words], sizes[for_words])]
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of token ids of each text, as ``batch`` gives them, without listing them."""
+        dictionary, index, bounds = _coded(texts)
+        sizes = np.array([len(self._chunk(w)) for w in dictionary], np.int64)
+        upto = np.concatenate([[0], np.cumsum(sizes[index])])
+        return upto[bounds[1:]] - upto[bounds[:-1]]
+
     def _chunk(self, text: str) -> list[int]:
         """Special tokens are found in the text as it stands; the rest is composed (NFC), lower-cased character by
         character, and split into words by the vocabulary's pattern, which drops white space."""
@@ -215,6 +222,13 @@ class Encoder:
         return ids
 
 
+def _coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What stands between ASCII white space in a batch, each different one once; its places in order, and the bounds of each text's."""
+    words = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = words.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
+
+
 def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places starts[0] .. starts[0] + sizes[0] - 1, starts[1] .. and so on."""
     ends = np.cumsum(sizes)
@@ -247,6 +261,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> Data
     return _run(docs, vocabulary, key, False)
 
 
+def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
+    """``key`` and ``n_tokens`` of every row of ``docs``: the number of ids that ``encode`` gives its whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # bounded by the vocabulary
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(Vocabulary.of(shared.value))
+        for batch in stream:
+            for start in range(0, batch.num_rows, _COUNTED):  # the words of a whole batch take hundreds of megabytes
+                part = batch.slice(start, _COUNTED)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.counts(part.column(1)), pa.int64())], names=[key, "n_tokens"])
+    return docs.select(key, "text").mapInArrow(run, f"{key} long, n_tokens long")
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
     """``key`` and ``text`` of every sequence (``key`` long, ids array of int); null counts as empty."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)

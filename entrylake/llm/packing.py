@@ -14,7 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .bpe import Vocabulary, token_counts
+from .common import stored
 
 #: Permitted sequence lengths in tokens, and the cost of a sequence beyond its length (also in tokens).
 CAPACITIES = (1024, 2048, 4096, 8192)
@@ -114,6 +117,7 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, gr
         run, "doc_id long, piece long, start long, length long, bin_id long, bin_length int, bin_offset int")
 
 
-def estimated_tokens(text: Column) -> Column:
-    """Tokens of a text by rule of thumb: a quarter of its characters, rounded up; 0 for null."""
-    return F.coalesce(F.ceil(F.length(text) / 4), F.lit(0)).cast("long")
+def pack_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``pack_documents`` of ``docs`` (doc_id, text) by the tokens of their whole texts; null and empty texts have none."""
+    # Packing reads the counts twice, the texts are encoded once.
+    return pack_documents(stored(token_counts(docs, vocabulary), "token-counts"))

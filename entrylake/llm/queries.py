@@ -14,6 +14,13 @@ RULES = [urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/
 VOCABULARY = "word_bpe_49k.json"
 
 
+def vocabulary() -> bpe.Vocabulary:
+    """The vocabulary that texts are tokenised and packed with."""
+    import public_tokenizers
+
+    return bpe.Vocabulary(public_tokenizers.path(VOCABULARY))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,14 +62,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack_documents(docs.select("doc_id", packing.estimated_tokens(F.col("text")).alias("n_tokens")))
+    return packing.pack_texts(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), bpe.Vocabulary(public_tokenizers.path(VOCABULARY)))
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

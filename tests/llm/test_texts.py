@@ -11,7 +11,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from entrylake.llm import bpe, syncmers, toxicity
+import corpus_pipeline
+from entrylake.llm import bpe, queries, syncmers, toxicity
 from entrylake.llm.common import table
 from helpers import DOCS, ODD_TEXTS, documents, prose
 
@@ -209,3 +210,17 @@ def test_digest_and_round_trip(spark, small, vocabulary, library):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(some, vocabulary), vocabulary).collect()}
     assert back == {i: library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for i, t in texts.items() if i < 20}
     assert bpe.round_trip_digest(docs.limit(0), vocabulary).count() == 0
+
+
+def test_packed_lengths_are_tokens(spark, vocabulary, library, tmp_path):
+    """Lengths of the query and of the pipeline's stage add up to the library's number of tokens, not to a share of the characters."""
+    rows = [(i, t) for i, t in enumerate([*ODD_TEXTS, "Überraschenderweise gefällt's ihm", prose(8, 3000), "<|endoftext|>" * 3])]
+    docs = documents(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    for packed in (queries.op9_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        got = {}
+        for r in packed.collect():
+            got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert got == want
+    assert [len(ids) for ids in bpe.Encoder(vocabulary).batch(pa.array([t for _, t in rows], pa.string()))] == [want[i] for i, _ in rows]
