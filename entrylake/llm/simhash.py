@@ -207,12 +207,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     member = components(near_pairs(classes.select("fp"))).withColumnRenamed("node", "fp")
     stay = (classes.join(member, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
             .agg(F.min("first").alias("first")))
+    return first_rows(docs, stay)
 
+
+def first_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``stay`` names by ``first`` (d: doc_id, o: hash of the text), each once."""
     def key(doc_id: Column, text_hash: Column) -> list[Column]:
         return [doc_id.isNull().alias("_n"), F.coalesce(doc_id, F.lit(0)).alias("_d"), text_hash.alias("_o")]
 
     at = ["_n", "_d", "_o"]
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), *key(F.col("doc_id"), own))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), *key(F.col("doc_id"), F.xxhash64("text")))
     # Join and window share one shuffle of the texts.
     return (whole.join(stay.select(*key(F.col("first.d"), F.col("first.o"))), at)
             .withColumn("_copy", F.row_number().over(Window.partitionBy(*at).orderBy("_o")))

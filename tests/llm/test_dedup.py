@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from entrylake.llm import capfilters, simhash, suffix
+import corpus_pipeline
+from entrylake.llm import capfilters, shingles, simhash, suffix
 from entrylake.llm.common import table
 from entrylake.llm.components import components
 from helpers import DOCS, ODD_TEXTS, Union, documents, prose
@@ -139,6 +140,47 @@ def test_fingerprints_and_components(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
 
 
+def plain_similarity(a, b):
+    def made(text):
+        words = text.lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    a, b = made(a), made(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_near_copies_by_five_word_shingles(spark, crowd):
+    """Texts with some words changed all over are found by the stage, whatever their fingerprints differ in; less similar ones stay."""
+    rng = random.Random(7)
+    texts = []
+    for i in range(30):
+        base = prose(1000 + i, rng.choice([12, 60, 300, 900]))
+        texts.append(base)
+        for share in (0.002, 0.015, 0.02, 0.03, 0.05) * (2 if i else 10):
+            texts.append(" ".join("CHANGED" + str(rng.random()) if rng.random() < share else w for w in base.split()))
+    texts += [t for t in ODD_TEXTS] + ["", "x", "X", texts[5].upper()]
+    texts = [t or "" for t in texts]
+    order = [*range(len(texts))]
+    rng.shuffle(order)
+    rows = [(i * 3, texts[k]) for i, k in enumerate(order)]
+    union = Union(len(rows))
+    near = [[plain_similarity(a, b) >= 0.8 for _, b in rows] for _, a in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if near[i][j]:
+                union.join(i, j)
+    assert sum((simhash.fingerprint(rows[i][1].encode()) ^ simhash.fingerprint(rows[j][1].encode())).bit_count() > 3
+               for i in range(len(rows)) for j in range(i) if near[i][j]) > 100
+    got = [r.doc_id for r in shingles.keep_one(documents(spark, rows), max_crowd=crowd).collect()]
+    assert len(got) == len(set(got)) and not any(near[i // 3][j // 3] for i in got for j in got if i < j)
+    assert {union.find(i // 3) for i in got} == {union.find(i) for i in range(len(rows))}
+    if crowd == 64:
+        assert sorted(got) == sorted({3 * union.find(i) for i in range(len(rows))})
+        staged = corpus_pipeline.drop_near_copies(spark, documents(spark, rows + [(None, rows[0][1]), (0, rows[0][1])]), "")
+        assert sorted(r.doc_id for r in staged.collect()) == sorted(got)
+        assert shingles.keep_one(documents(spark, rows).limit(0)).count() == 0
+
+
 def test_long_text_equals_short_steps(monkeypatch):
     text = prose(9, 900).encode()
     want = simhash.fingerprint(text)
