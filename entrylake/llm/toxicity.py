@@ -229,6 +229,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Data
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` below the score ``reject``."""
+    """The rows of ``docs`` below the score ``reject``; all rows if nothing was learnt.
+
+    That is so if the usable labels have fewer than two classes (or too few texts to train any bucket): the score is then one constant, which
+    says nothing about a text.
+    """
+    model = fit(docs, labels)
+    if not model.weight.any():
+        return docs
     name = "score" + "_" * max(map(len, docs.columns))  # longer than any other
-    return score(docs, fit(docs, labels), name=name).where(F.col(name) < reject).select(*docs.columns)
+    return score(docs, model, name=name).where(F.col(name) < reject).select(*docs.columns)

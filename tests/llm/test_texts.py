@@ -65,6 +65,16 @@ def test_toxicity_without_labels(spark):
     assert toxicity.keep_clean(documents(spark, [(1, "a")]), none).columns == documents(spark, [(1, "a")]).columns
 
 
+def test_all_are_kept_if_nothing_was_learnt(spark):
+    docs = documents(spark, [(1, "a"), (3, "idiot"), (4, None)])
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    free = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    one = docs.unionByName(documents(spark, [(held, "b"), (free, "c")]))
+    for labels in ([], [(held, 1), (held, 0)], [(free, None)], [(free, 0)], [(free, 1)]):
+        marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+        assert toxicity.keep_clean(one, marks).count() == 5
+
+
 def test_training_sample_is_bounded(spark, monkeypatch):
     taken = []
     monkeypatch.setattr(toxicity, "train", lambda sample: taken.append(sample) or toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0))
