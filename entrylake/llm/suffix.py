@@ -34,6 +34,8 @@ GRAM = 128
 BLOCK_BYTES = 1 << 20
 #: A text is cut into segments of so many windows; segments up to so many bytes are handled at once.
 SEGMENT = 1 << 19
+#: Bytes that stand for a word where repeats are judged by words.
+CODE = 6
 _SEPARATOR = 255  # never occurs in UTF-8
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -346,15 +348,90 @@ def kept_parts(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
     return [data[s:e] for s, e in zip(bounds[::2], bounds[1::2])]
 
 
-def with_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def word_codes(data: bytes) -> bytes:
+    """``CODE`` bytes (7 bits each) for every word, so that equal runs of words are equal bytes of known length."""
+    hashes = b"".join(map(xxhash.xxh64_digest, data.split()))
+    return (np.frombuffer(hashes, np.uint8).reshape(-1, 8)[:, :CODE] & 127).tobytes()
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, _own, text) with the codes of the words in place of each text."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            made = pa.array([word_codes(t) for t in raw(batch.column(2))], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], names=["doc_id", "_own", "text"])
+    narrow = docs.select("doc_id", "_own", "text")
+    return narrow.mapInArrow(run, narrow.schema)
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word."""
+    space = np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def has_sparse_window(data: bytes, width: int, words: int) -> bool:
+    """Whether some ``width`` bytes hold no more than ``words`` words with white space on both sides.
+
+    A text with such bytes is the only one that can share them. All other windows that repeat have a run of more words that repeats.
+    """
+    last = len(data) - width
+    if last < 0:
+        return False
+    starts, ends = word_bounds(data)
+    # Windows from just behind the start of one word on have the words from the next one on.
+    first = np.concatenate([[0], starts])
+    stop = np.full(len(first), len(data) + 1)
+    known = ends[words:]
+    stop[:len(known)] = known
+    return bool((stop + 1 > first + width)[first <= last].any())
+
+
+def _sparse(docs: DataFrame, width: int, words: int) -> DataFrame:
+    """The rows of ``docs`` (doc_id, _own, text) whose text has a sparse window."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            yield batch.filter(pa.array([has_sparse_window(t, width, words) for t in raw(batch.column(2))], pa.bool_()))
+    narrow = docs.select("doc_id", "_own", "text")
+    return narrow.mapInArrow(run, narrow.schema)
+
+
+def in_bytes(data: bytes, spans: list[dict] | None) -> list[dict] | None:
+    """Spans of bytes from those of bytes and of word codes. Words that codes cover in part are left out."""
+    if not any(s["coded"] for s in spans or []):
+        return spans
+    starts, ends = (x.tolist() for x in word_bounds(data))
+    out = []
+    for s in spans:
+        if not s["coded"]:
+            out.append(s)
+        elif (first := -(-s["lo"] // CODE)) < (last := s["hi"] // CODE):
+            out.append({"lo": starts[first], "hi": ends[last - 1]})
+    return out
+
+
+def with_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, *, words: int = 0) -> DataFrame:
     """``docs`` (doc_id long, text string) and ``_spans``, an unordered array of (lo, hi) of repeated bytes, or null. No other column may begin
     with an underscore, but for ``_rest``.
 
     Null and empty texts have none. Repeated rows repeat each other, so long ones are covered whole. Ids may be null or repeat.
+    With ``words``, runs of more than so many words that repeat have spans too: (lo, hi) in their word codes, marked as ``coded``. Of repeated bytes
+    that hold such a run, words that are cut off at their ends may be left out.
     """
     keyed = docs.withColumn("_own", _own())
-    spans = (repeated_spans(keyed, width, gram, block_bytes).groupBy(F.col("doc_id").alias("_d"), F.col("own").alias("_o"))
-             .agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")))
+    fields = ["lo", "hi"]
+    if words:
+        # One after the other, so that their workers are not there at once. Bytes are read only where runs of words do not settle them.
+        run = (words + 1) * CODE
+        by_words = stored(repeated_spans(_coded(keyed), run, min(gram, run // 2), block_bytes), "word-spans")
+        by_bytes = stored(repeated_spans(stored(_sparse(keyed, width, words), "sparse"), width, gram, block_bytes), "byte-spans")
+        found = by_bytes.withColumn("coded", F.lit(False)).unionByName(by_words.withColumn("coded", F.lit(True)))
+        fields.append("coded")
+    else:
+        found = repeated_spans(keyed, width, gram, block_bytes)
+    spans = (found.groupBy(F.col("doc_id").alias("_d"), F.col("own").alias("_o"))
+             .agg(F.collect_list(F.struct(*fields)).alias("_spans")))
     return _with(keyed, spans, "left").select(*docs.columns, "_spans")
 
 
@@ -376,9 +453,11 @@ def dedup_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
     """The rows of ``docs`` with repeated bytes cut from their texts; a null text stays null.
 
+    With ``words``, runs of more than so many words (between ASCII white space, whichever it is) that also stand elsewhere go as well, however short.
+
     A text stays valid UTF-8: of a character that is partly covered nothing is removed. A column n_chars follows the new text.
     """
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +466,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for data, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 if data is not None and spans:
                     runs = []
-                    for s, e in merged(spans):
+                    for s, e in merged(in_bytes(data, spans) if words else spans):
                         while s < e and data[s] & 0xC0 == 0x80:
                             s += 1
                         while s < e < len(data) and data[e] & 0xC0 == 0x80:
@@ -399,7 +478,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     # The other columns travel in one, so that their names meet none of those used here.
     rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest")
-    marked = with_spans(docs.select("doc_id", "text", rest), width).select("_rest", "text", "_spans")
+    marked = with_spans(docs.select("doc_id", "text", rest), width, words=words).select("_rest", "text", "_spans")
     out = marked.mapInArrow(run, StructType([marked.schema["_rest"], docs.schema["text"]]))
     out = out.select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

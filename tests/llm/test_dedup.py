@@ -289,3 +289,29 @@ def test_removed_text_stays_valid(spark):
     out = {r.doc_id: r for r in suffix.remove_repeats(documents(spark, rows)).collect()}
     assert out[1].text == "ab" and out[2].text == "céd" and out[3].text is None and out[4].text == "short"
     assert out[1].n_chars == 2 and out[1].fits == 2
+
+
+def test_stage_cuts_repeats_of_more_than_fifty_words(spark):
+    """Repeated runs of 51 short words go in the stage, those of 50 stay, and so do two shorter ones side by side."""
+    def run(seed, n):
+        return " ".join(f"{seed}{chr(97 + i % 26)}{i // 26}" for i in range(n))
+    a, b, c, d = run("p", 51), run("q", 50), run("r", 30), run("s", 30)
+    rows = [(1, f"one {a} two"), (2, f"three\n{a.replace(' ', chr(10))} é"), (3, f"é {b} four"), (4, f"five {b} six"), (5, f"{c} {d}"),
+            (6, f"{c} x"), (7, f"y {d}"), (8, "Ã" * 210 + "b"), (9, "c" + "Ã" * 210), (10, None), (11, " "), (12, a)]
+    out = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, documents(spark, rows), "").collect()}
+    want = {**dict(rows), 1: "one  two", 2: "three\n é", 8: "b", 9: "c", 12: ""}
+    assert {i: r.text for i, r in out.items()} == want
+    assert all(r.n_chars == len(r.text) for r in out.values() if r.text is not None)
+    assert len(a.encode()) < 400
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_sparse_windows_by_definition(seed):
+    rng = random.Random(seed)
+    data = "".join(rng.choice("ab \n" if seed % 2 else "abcdef ") for _ in range(rng.randint(0, 120))).encode()
+    for width, words in ((20, 2), (20, 4), (30, 5)):
+        def full(window):
+            inner = [w for w in window.replace(b"\n", b" ").split(b" ")][1:-1]
+            return sum(bool(w) for w in inner)
+        want = any(full(data[i:i + width]) <= words for i in range(len(data) - width + 1))
+        assert suffix.has_sparse_window(data, width, words) == want or not want
