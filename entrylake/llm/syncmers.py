@@ -4,13 +4,15 @@ A k-mer of characters is a closed syncmer if the smallest of its inner s-mers li
 chosen depends on the k-mer alone, not on what surrounds it, so equal passages have equal anchors wherever they stand, and anchors
 of two texts can be matched with their positions. Any k - s + 1 neighbouring k-mers hold at least one anchor.
 
-The fingerprint of a text is the sorted list of the smallest hashes of its anchors (as many as ``SKETCH``); the likeness of two fingerprints estimates
-the share of anchors that the texts have in common.
+The fingerprint of a text has the hash and position of every anchor whose hash is below a fixed share (one in ``SHARE``), so it grows with the text; if
+these have fewer than ``SKETCH`` different hashes, the anchors of the ``SKETCH`` smallest. The likeness of two fingerprints is the share of anchors that match in
+the same order in both: an estimate of what the texts have in common, passage for passage.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored, texts
 
 K, S = 24, 9
-SKETCH = 64
+#: A fingerprint has one anchor in ``SHARE``, and at least those of the ``SKETCH`` smallest hashes; hashes have ``BITS`` bits there.
+SKETCH, SHARE, BITS = 64, 16, 48
+_BELOW = (1 << BITS) // SHARE - 1
+_ANCHOR = np.dtype([("hash", np.uint64), ("at", np.int64)])
 _SEGMENT = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -84,30 +89,97 @@ def matched(a: np.ndarray, b: np.ndarray, k: int = K, s: int = S) -> list[tuple[
     return sorted(zip(sides[0][1][i].tolist(), sides[1][1][j].tolist()))
 
 
+def _limit(hashes: np.ndarray) -> int:
+    """A fingerprint has all anchors of its text up to this hash; ``hashes`` are those of the text or of the fingerprint."""
+    distinct = np.unique(hashes)
+    return (1 << BITS) - 1 if len(distinct) < SKETCH else max(_BELOW, int(distinct[SKETCH - 1]))
+
+
 def sketch(codes: np.ndarray) -> np.ndarray:
-    """The smallest distinct anchor hashes, as 32-bit numbers (their upper halves, which keep the order)."""
-    h = np.unique((anchors(codes)[1] >> np.uint64(32)).astype(np.uint32))
-    return h[:SKETCH]
+    """The anchors (hash, at) of the fingerprint by rising position."""
+    at, h = anchors(codes)
+    h = h >> np.uint64(64 - BITS)
+    low = h <= np.uint64(_limit(h))
+    made = np.empty(int(low.sum()), _ANCHOR)
+    made["hash"], made["at"] = h[low], at[low]
+    return made
 
 
 def packed(fingerprint: np.ndarray) -> bytes:
-    """A fingerprint as bytes, four for each hash."""
-    return fingerprint.astype(">u4").tobytes()
+    """A fingerprint as bytes: the number of anchors (four bytes), six for each hash, then the distance of each position from the one
+    before in groups of seven bits, the lowest first, with the high bit set if another group follows."""
+    hashes = fingerprint["hash"].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8:]
+    gaps = np.diff(fingerprint["at"], prepend=0)
+    size = 1 + sum((gaps >> 7 * level > 0).astype(np.int64) for level in range(1, 9))
+    out, start = np.empty(int(size.sum()), np.uint8), np.cumsum(size) - size
+    for level in range(int(size.max(initial=0))):
+        some = size > level
+        out[start[some] + level] = (gaps[some] >> 7 * level & 127) | np.where(size[some] > level + 1, 128, 0)
+    return len(fingerprint).to_bytes(4, "big") + hashes.tobytes() + out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The fingerprint that ``packed`` made bytes of."""
+    made = np.zeros(int.from_bytes(data[:4], "big"), _ANCHOR)
+    cut = 4 + BITS // 8 * len(made)
+    for byte in np.frombuffer(data[4:cut], np.uint8).reshape(len(made), BITS // 8).T:
+        made["hash"] = made["hash"] << np.uint64(8) | byte
+    at = gap = shift = n = 0
+    for byte in data[cut:]:
+        gap |= (byte & 127) << shift
+        shift += 7
+        if byte < 128:
+            at += gap
+            made["at"][n] = at
+            gap, shift, n = 0, 0, n + 1
+    return made
 
 
 def written(fingerprint: np.ndarray) -> str:
-    """A fingerprint as hex digits, eight for each hash."""
+    """The bytes of a fingerprint as hex digits."""
     return packed(fingerprint).hex()
 
 
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for the first, second .. occurrence of equal hashes."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    place = np.arange(len(hashes))
+    out = np.empty(len(hashes), np.uint64)
+    out[order] = _stir(ordered + (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) * _M1)
+    return out
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """The most anchors of two lists of hashes that match one to one in the same order (the longest common subsequence).
+
+    If hashes repeat so often that their pairs are more than 16 a place, each occurrence is matched with that of the same number only.
+    """
+    order = np.argsort(b, kind="stable")
+    start, end = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    if (end - start).sum() > 16 * (len(a) + len(b)):
+        a, b = _numbered(a), _numbered(b)
+        order = np.argsort(b, kind="stable")
+        start, end = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    tails: list[int] = []
+    for i in np.flatnonzero(end > start).tolist():
+        # The last one first: an anchor of ``a`` is matched once.
+        for to in order[start[i]:end[i]][::-1].tolist():
+            at = bisect_left(tails, to)
+            tails[at:at + 1] = [to]
+    return len(tails)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common anchors (Jaccard) from two sorted sketches; two empty ones are alike."""
+    """Estimated share of the anchors that two texts have in common in the same order, from their fingerprints; two empty ones are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(both))
+    # Up to here both have all anchors of their texts.
+    limit = np.uint64(min(_limit(a["hash"]), _limit(b["hash"])))
+    x, y = (f["hash"][f["hash"] <= limit] for f in (a, b))
+    both = in_order(x, y)
+    return both / (len(x) + len(y) - both)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -150,6 +150,40 @@ def test_likeness_estimates_the_common_share():
         assert syncmers.likeness(*(syncmers.sketch(syncmers.code_points(t)) for t in (x, y))) < 0.1
 
 
+def test_likeness_of_long_texts_and_of_reordered_ones():
+    sketch = lambda t: syncmers.sketch(syncmers.code_points(t))
+    for seed in range(5):
+        x, y, passage = prose(seed, 20_000), prose(seed + 50, 20_000), prose(seed + 90, 900)[:2000]
+        at = 10_000 * seed
+        a, b = sketch(x[:at] + passage + x[at:]), sketch(y[:-at - 1] + passage + y[-at - 1:])
+        assert len(a) > 10 * syncmers.SKETCH and syncmers.likeness(a, a) == 1
+        assert 0 < syncmers.likeness(a, b) < 0.05 and syncmers.likeness(sketch(x), sketch(y)) == 0
+        blocks = [x[i:i + 5000] for i in range(0, len(x), 5000)]
+        assert syncmers.likeness(sketch(x), sketch("".join(blocks[::-1]))) < 0.2
+
+
+@pytest.mark.parametrize("text", ["", "abc", "a" * 5000, "ab" * 400, prose(5, 9000), prose(1, 40) + "x" * 30 + prose(1, 40)])
+def test_fingerprints_have_positions(text):
+    codes = syncmers.code_points(text)
+    made, at, h = syncmers.sketch(codes), *syncmers.anchors(codes)
+    of = dict(zip(at.tolist(), (h >> np.uint64(64 - syncmers.BITS)).tolist()))
+    assert all(of[i] == x for x, i in made.tolist()) and made["at"].tolist() == sorted(set(made["at"].tolist()))
+    limit = max(sorted(set(of.values()))[:syncmers.SKETCH] + [0])
+    assert {i for i, x in of.items() if x <= limit or x < 2 ** syncmers.BITS // syncmers.SHARE} == set(made["at"].tolist())
+    assert (syncmers.unpacked(syncmers.packed(made)) == made).all() and syncmers.likeness(made, made) == 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_matches_in_order_against_plain_version(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.randrange(8 + seed) for _ in range(rng.randint(0, 30))] for _ in range(2))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert syncmers.in_order(np.array(a, np.uint64), np.array(b, np.uint64)) == best[-1][-1]
+
+
 # --- byte-pair encoding
 
 @pytest.fixture(scope="module")
