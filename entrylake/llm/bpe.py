@@ -13,8 +13,8 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,10 +23,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Words are remembered up to this length, up to this number per task.
-_SHORT, _REMEMBERED = 48, 150_000
-#: Texts whose tokens are counted at once.
-_COUNTED = 500
+from .common import slices
+
+#: Words, and what stands between white space, are remembered up to this length, up to this number each per worker.
+_SHORT, _REMEMBERED = 48, 300_000
+#: Pairs of tokens whose compatibility is remembered.
+_PAIRS = 300_000
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -104,7 +108,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes words and texts; one is made per task."""
+    """Encodes words and texts; one is made per worker."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -116,65 +120,83 @@ class Encoder:
         self._size = {token: len(spelling) for spelling, token in vocabulary.spelled.items()}
         self._most = max(self._size.values())
         self._spelling = {token: spelling for spelling, token in vocabulary.spelled.items()}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._fitting: dict[int, int] = {}
         self._shorter: dict[int, int | None] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = {}
+        self._chunks: dict[str, bytes] = {}
         self._split_words = regex.compile(vocabulary.pattern)
         # The same for lower-case ASCII.
         self._split_ascii = re.compile(vocabulary.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
+        self._marks = "".join({token[0] for token in vocabulary.special})
 
-    def compatible(self, left: int, right: int) -> bool:
-        """The pair-compatibility table, filled as pairs come up."""
-        known = self._compatible.get((left, right))
-        if known is None:
-            known = self.v.stands(left, right)
-            if len(self._compatible) < _REMEMBERED:
-                self._compatible[left, right] = known
-        return known
-
-    def _next_shorter(self, token: int) -> int | None:
+    @classmethod
+    def kept(cls, state: dict) -> Encoder:
+        """The encoder of this worker. It stays with the worker's copy of a broadcast vocabulary, and so does what it remembers."""
+        if "encoder" not in state:
+            state["encoder"] = cls(Vocabulary.of(state))
+        return state["encoder"]
+
+    def fitting(self, left: int, token: int) -> int:
+        """The pair-compatibility table, filled as pairs come up: the longest token that is compatible with ``left`` among ``token`` and those
+        that it begins with; -1 if there is none."""
+        found = self._fitting.get(left << 32 | token)
+        if found is None:
+            found = token
+            while found is not None and not self.v.stands(left, found):
+                found = self._next_shorter(found)
+            found = -1 if found is None else found
+            if len(self._fitting) < _PAIRS:
+                self._fitting[left << 32 | token] = found
+        return found
+
+    def _next_shorter(self, token: int, none: int | None = None) -> int | None:
         """The longest token that the given one begins with, itself excluded."""
         if token not in self._shorter:
             spelling = self._spelling[token]
             self._shorter[token] = next((self.v.spelled[spelling[:n]] for n in range(len(spelling) - 1, 0, -1)
                                          if spelling[:n] in self.v.spelled), None)
-        return self._shorter[token]
+        found = self._shorter[token]
+        return none if found is None else found
 
     def word(self, word: str) -> list[int]:
         """Token ids of one word of the pre-tokenizer."""
         spelled = word if word.isascii() and word.isprintable() else "".join([self._letter[b] for b in word.encode()])
         if self.v.end:
             spelled = spelled[:-1] + word_end(spelled[-1])
-        # Longest matches from the left. If neighbours are compatible nothing is to be given up.
+        # Longest matches from the left. As far as neighbours are compatible nothing is to be given up.
         out = [token for _, token in self._longest.iter_long(spelled)]
-        if all(map(self.compatible, out, out[1:])):
-            return out
-        return self._backtrack(spelled)
-
-    def _backtrack(self, spelled: str) -> list[int]:
-        n = len(spelled)
+        known, last = self._fitting.get, out[0]
+        for i in range(1, len(out)):
+            token = out[i]
+            fits = known(last << 32 | token)
+            if fits != token and (fits is not None or self.fitting(last, token) != token):
+                return self._backtrack(spelled, out[:i], token)
+            last = token
+        return out
+
+    def _backtrack(self, spelled: str, out: list[int], token: int) -> list[int]:
+        """Goes on behind the tokens ``out``, where ``token`` is the longest."""
+        n, sizes, known, longest = len(spelled), self._size, self._fitting.get, self._longest.iter_long
         untried = [True] * (n + 1)
-        out: list[int] = []
-        at, token = 0, self._longest_at(spelled, 0)
+        at = sum([sizes[t] for t in out])
         while True:
-            stop = at + self._size[token]
-            if untried[stop] and (not out or self.compatible(out[-1], token)):
+            if out and token >= 0:
+                fits = known(out[-1] << 32 | token)
+                token = self.fitting(out[-1], token) if fits is None else fits
+            if token < 0:
+                untried[at] = False
+                token = out.pop()
+                at -= sizes[token]
+                token = self._next_shorter(token, -1)
+            elif untried[at + sizes[token]]:
                 out.append(token)
-                at = stop
+                at += sizes[token]
                 if at == n:
                     return out
-                token = self._longest_at(spelled, at)
-                continue
-            shorter = self._next_shorter(token)
-            if shorter is None:
-                untried[at] = False
-                shorter = out.pop()
-                at -= self._size[shorter]
-            token = shorter
-
-    def _longest_at(self, spelled: str, at: int) -> int:
-        return next(self._longest.iter_long(spelled[at:at + self._most]))[1]
+                token = next(longest(spelled, at))[1]
+            else:
+                token = self._next_shorter(token, -1)
 
     def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Token ids of each text; null counts as empty.
@@ -182,9 +204,9 @@ class Encoder:
         No word, special token or composed character holds ASCII white space, so what stands between is encoded once a batch.
         """
         dictionary, index, bounds = _coded(texts)
-        tokens = [self._chunk(w) for w in dictionary]
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        flat = np.fromiter(chain.from_iterable(tokens), np.int32, int(sizes.sum()))
+        tokens = list(map(self.chunk, dictionary))
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+        flat = np.frombuffer(b"".join(tokens), np.int32)
         starts = np.cumsum(sizes) - sizes
         for s, e in zip(bounds[:-1], bounds[1:]):
             for_words = index[s:e]
@@ -193,17 +215,26 @@ class Encoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of token ids of each text, as ``batch`` gives them, without listing them."""
         dictionary, index, bounds = _coded(texts)
-        sizes = np.array([len(self._chunk(w)) for w in dictionary], np.int64)
+        sizes = np.fromiter(map(len, map(self.chunk, dictionary)), np.int64, len(dictionary)) // 4
         upto = np.concatenate([[0], np.cumsum(sizes[index])])
         return upto[bounds[1:]] - upto[bounds[:-1]]
 
-    def _chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> bytes:
+        """Token ids, four bytes each, of a text without ASCII white space."""
+        made = self._chunks.get(text)
+        if made is None:
+            made = self._encoded(text)
+            if len(text) <= _SHORT and len(self._chunks) < _REMEMBERED:
+                self._chunks[text] = made
+        return made
+
+    def _encoded(self, text: str) -> bytes:
         """Special tokens are found in the text as it stands; the rest is composed (NFC), lower-cased character by
         character, and split into words by the vocabulary's pattern, which drops white space."""
-        ids: list[int] = []
-        for piece in self._specials.split(text) if self._specials else [text]:
+        ids: list[bytes] = []
+        for piece in self._specials.split(text) if any(mark in text for mark in self._marks) else [text]:
             if piece in self.v.special:
-                ids.append(self.v.special[piece])
+                ids.append(array("i", [self.v.special[piece]]).tobytes())
                 continue
             if piece.isascii():
                 words = self._split_ascii.findall(piece.lower())
@@ -215,11 +246,11 @@ class Encoder:
             for word in words:
                 found = self._words.get(word)
                 if found is None:
-                    found = self.word(word)
+                    found = array("i", self.word(word)).tobytes()
                     if len(word) <= _SHORT and len(self._words) < _REMEMBERED:
                         self._words[word] = found
-                ids += found
-        return ids
+                ids.append(found)
+        return b"".join(ids)
 
 
 def _coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -266,10 +297,9 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # bounded by the vocabulary
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary.of(shared.value))
+        encoder = Encoder.kept(shared.value)
         for batch in stream:
-            for start in range(0, batch.num_rows, _COUNTED):  # the words of a whole batch take hundreds of megabytes
-                part = batch.slice(start, _COUNTED)
+            for part in slices(batch, SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.counts(part.column(1)), pa.int64())], names=[key, "n_tokens"])
     return docs.select(key, "text").mapInArrow(run, f"{key} long, n_tokens long")
 
@@ -295,10 +325,10 @@ def _run(docs: DataFrame, vocabulary: Vocabulary, key: str, digest: bool) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # bounded by the vocabulary
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.of(shared.value)
-        encoder, decoder = Encoder(v), Decoder(v.tokens)
-        decimal = Decoder([str(i) for i in range(len(v.tokens))])
-        for batch in stream:
+        encoder = Encoder.kept(shared.value)
+        decoder = Decoder(encoder.v.tokens)
+        decimal = Decoder([str(i) for i in range(len(encoder.v.tokens))])
+        for batch in (part for whole in stream for part in slices(whole, SLICE)):
             encoded = encoder.batch(batch.column(1))
             if not digest:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoded, pa.list_(pa.int32()))], names=[key, "ids"])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from entrylake.session import work_dir
@@ -32,6 +34,17 @@ def raw(column: pa.Array) -> list[bytes]:
     return [t if t is not None else b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, most: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``most`` bytes of text in a column, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def batches(kernel: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema):
     """A ``mapInArrow`` function from a kernel that makes columns out of one batch."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
