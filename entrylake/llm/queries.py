@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, capfilters, chat, packing, simhash, suffix, syncmers, toxicity, urls, warc
+from . import bpe, capfilters, chat, differencing, infill, packing, ranked, simhash, suffix, syncmers, toxicity, urls, warc
 from .common import table
 
 RULES = [urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
@@ -69,6 +69,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differencing.pack_digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_embedding_dedup, op3_simhash_dedup, op4_suffix_dedup, op5_url_filter, op6_warc_derivatives, op7_syncmer_fingerprints,
-    op8_chat_format, op9_best_fit_packing, op10_bpe)}
+    op8_chat_format, op9_best_fit_packing, op10_bpe, op11_differencing_packing, op12_ranked_search, op13_fill_in_middle)}

@@ -115,4 +115,47 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as big
   cast(n + length('<s></s>') as bigint) as formatted_chars from c
 """
 
-SQL: dict[str, str] = {"op2_embedding_dedup": _EMBEDDINGS, "op4_suffix_dedup": _SUFFIX, "op5_url_filter": _URLS, "op8_chat_format": _CHAT}
+# Terms are split off at ASCII characters that are neither letters nor digits; only A-Z are lower-cased.
+_RANKED = """
+with split as (
+  select doc_id as id, 0 as side, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as t from documents
+  union all
+  select item_id, 1, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') from benchmark),
+listed as (
+  select id, side, translate(unnest(t), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from split),
+occurring as (select id, side, term, count(*) as tf from listed group by id, side, term),
+lengths as (select id, sum(tf)::bigint as n from occurring where side = 0 group by id),
+total as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+sized as (select id, 100 - 75 + ((75 * n * docs) // terms) as m from lengths, total),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from occurring, total where side = 0 group by term),
+scored as (
+  select i.id as item_id, d.id as doc_id, sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m)))::bigint as score
+  from occurring i join occurring d on i.term = d.term join weights on weights.term = i.term join sized on sized.id = d.id
+  where i.side = 1 and d.side = 0 group by i.id, d.id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
+
+_INFILL = """
+with u as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as u,
+    sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+d as (
+  select *, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3,
+    ('0x' || h[25:32])::bigint as h4 from u),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+      when h4 % 100 < 50 then 'spm' else 'psm' end as form from d),
+p as (
+  select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+  case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(t) as restored_sha256
+from p
+"""
+
+SQL: dict[str, str] = {"op2_embedding_dedup": _EMBEDDINGS, "op4_suffix_dedup": _SUFFIX, "op5_url_filter": _URLS, "op8_chat_format": _CHAT,
+                       "op12_ranked_search": _RANKED, "op13_fill_in_middle": _INFILL}

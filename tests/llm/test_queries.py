@@ -1,6 +1,8 @@
 """Registered queries against their SQL, and the entry points."""
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
@@ -23,7 +25,7 @@ def test_equals_sql(spark, small, name):
 
 def test_all_are_registered():
     names = entry_point.queries()
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in names and set(sql.SQL) <= set(names)
 
 
@@ -43,6 +45,9 @@ def test_pipeline_stages(spark, small, tmp_path):
     packed = {}
     for r in docs.collect():
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
-    assert packed == {i: -(-len(r.text) // 4) for i, r in kept.items()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    assert packed == {i: len(tokenizer.encode(r.text, add_special_tokens=False).ids) for i, r in kept.items()}
     assert all(r.n_chars == len(r.text) for r in kept.values())
     assert {tuple(r) for r in corpus_pipeline.run(spark, small).select("doc_id", "length").collect()} == {(r.doc_id, r.length) for r in docs.collect()}
