@@ -12,7 +12,7 @@ the same order in both: an estimate of what the texts have in common, passage fo
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored, texts
+from .common import slices, texts
 
 K, S = 24, 9
 #: A fingerprint has one anchor in ``SHARE``, and at least those of the ``SKETCH`` smallest hashes; hashes have ``BITS`` bits there.
@@ -28,6 +28,7 @@ SKETCH, SHARE, BITS = 64, 16, 48
 _BELOW = (1 << BITS) // SHARE - 1
 _ANCHOR = np.dtype([("hash", np.uint64), ("at", np.int64)])
 _SEGMENT = 1 << 20
+_SLICE = 4 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -140,35 +141,47 @@ def written(fingerprint: np.ndarray) -> str:
     return packed(fingerprint).hex()
 
 
-def _numbered(hashes: np.ndarray) -> np.ndarray:
-    """Numbers that are equal for the first, second .. occurrence of equal hashes."""
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    place = np.arange(len(hashes))
-    out = np.empty(len(hashes), np.uint64)
-    out[order] = _stir(ordered + (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) * _M1)
-    return out
+def _alike_ahead(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two lists begin with in common."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
 
 
 def in_order(a: np.ndarray, b: np.ndarray) -> int:
     """The most anchors of two lists of hashes that match one to one in the same order (the longest common subsequence).
 
-    If hashes repeat so often that their pairs are more than 16 a place, each occurrence is matched with that of the same number only.
+    What both begin and end with is matched as it stands. Of the rest, pairs of equal hashes are walked one by one; if hashes repeat so often that these
+    are more than 16 a place, a row of the table is made at once, as the bits of one number. Both ways give the same.
     """
+    ahead = _alike_ahead(a, b)
+    a, b = a[ahead:], b[ahead:]
+    behind = _alike_ahead(a[::-1], b[::-1])
+    a, b, alike = a[:len(a) - behind], b[:len(b) - behind], ahead + behind
     order = np.argsort(b, kind="stable")
     start, end = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
     if (end - start).sum() > 16 * (len(a) + len(b)):
-        a, b = _numbered(a), _numbered(b)
-        order = np.argsort(b, kind="stable")
-        start, end = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+        return alike + _in_order_by_bits(a, b)
     tails: list[int] = []
     for i in np.flatnonzero(end > start).tolist():
         # The last one first: an anchor of ``a`` is matched once.
         for to in order[start[i]:end[i]][::-1].tolist():
             at = bisect_left(tails, to)
             tails[at:at + 1] = [to]
-    return len(tails)
+    return alike + len(tails)
+
+
+def _in_order_by_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence; bit j of ``row`` is zero where the table rises at ``b[j]``."""
+    places = {}
+    for value in np.intersect1d(a, b):
+        places[int(value)] = int.from_bytes(np.packbits(b == value, bitorder="little").tobytes(), "little")
+    whole = row = (1 << len(b)) - 1
+    for value in a.tolist():
+        if value in places:
+            both = row & places[value]
+            row = (row + both | row - both) & whole
+    return len(b) - row.bit_count()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -205,55 +218,62 @@ def _compare(doc_id: int | None, codes: np.ndarray, own: np.ndarray, after: np.n
             likeness(own, changed), likeness(own, after_sketch))
 
 
+def _place(doc_id: int | None, h: int) -> tuple[bool, int, int]:
+    """Where a row comes: by falling id, null ids last, rows of one id by the hash of their text."""
+    return doc_id is None, -(doc_id or 0), h
+
+
+def _parts(keyed: DataFrame) -> list[tuple[bool, int, int]]:
+    """The first places of evenly filled parts of the rows (doc_id, _h): numbers only, and some per task of the next shuffle."""
+    n = 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.select("doc_id", "_h").repartitionByRange(n, F.col("doc_id").desc_nulls_last(), F.col("_h"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.bitwise_not(F.coalesce("doc_id", F.lit(0))), F.col("_h"), F.col("doc_id").alias("id")))
+    return sorted(_place(r[1]["id"], r[1]["_h"]) for r in ranged.groupBy(F.spark_partition_id()).agg(first.alias("first")).collect())
+
+
 def edit_study(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness; columns as in ``_RESULT``, bytes as hex digits.
 
     The edited text ends in the beginning of the next document by falling doc_id (after the last: the first); its last half
     makes room for it. Null texts count as empty, null ids come last, rows of one id are ordered by their text. A single row follows itself.
 
-    Rows are sorted over all partitions, so nearly every row has its next one beside it. Only the first row of each partition is
-    also sent on to the last of the partition before.
+    Rows are cut into parts along their order, from a pass over ids and hashes only. The texts are shuffled once, by part; the first row of a part
+    also goes to the part before, so that every row has its next one beside it.
     """
-    ordered = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-               .repartitionByRange(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-               .sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-               .withColumn("_part", F.spark_partition_id()))
-    schema = pa.schema([*_RESULT, ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
+    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    starts = _parts(keyed)
+    columns = [F.lower(F.hex(n)).alias(n) if kind == pa.binary() else F.col(n) for n, kind in _RESULT]
+
+    def assign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, str] = {}
+        for batch in (part for whole in stream for part in slices(whole, _SLICE)):
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            part = [bisect_right(starts, _place(i, h)) - 1 for i, h in zip(ids, hashes)]
+            kinds = [pa.array(part, pa.int32()), pa.array([False] * len(part))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *kinds], names=["doc_id", "text", "_h", "_part", "_after"])
+            # Rows of one place may be many; the smallest text of each task is enough.
+            for row, (i, h, p) in enumerate(zip(ids, hashes, part)):
+                if _place(i, h) == starts[p] and ((text := batch.column(1)[row].as_py()) < sent.get(p, text + "x")):
+                    sent[p] = text
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i], pa.int64()), pa.array([text]), pa.array([h], pa.int64()), pa.array([(p - 1) % len(starts)], pa.int32()),
+                         pa.array([True])], names=["doc_id", "text", "_h", "_part", "_after"])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, _SLICE)):
             rows = []
-            for doc_id, text, part in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, _, part, after in zip(*(c.to_pylist() for c in batch.columns)):
+                if after and (before is None or before[3] != part):
+                    continue  # another copy of the row that was taken
                 codes = code_points(text)
                 own = sketch(codes)
-                if before is None:
-                    rows.append((doc_id, *[None] * 6, part, "first", text))
-                else:
-                    rows.append((*_compare(*before[:3], codes, own), part, None, None))
-                before = doc_id, codes, own, text, part
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-        if before is not None:
-            rows = [(before[0], *[None] * 6, before[4], "last", before[3])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-
-    made = stored(ordered.mapInArrow(run, _RESULT_SQL + ", part int, edge string, text string"), "syncmers")
-    # Two rows per partition. The next of a part is the next one with rows, and of the last part the first one.
-    parts = [r[0] for r in made.where("edge = 'first'").select("part").orderBy("part").collect()]
-    columns = [F.lower(F.hex(n)).alias(n) if kind == pa.binary() else F.col(n) for n, kind in _RESULT]
-    if not parts:
-        return made.select(*columns)
-    following = docs.sparkSession.createDataFrame([*zip(parts, parts[1:] + parts[:1])], "part int, next int")
-    last = made.where("edge = 'last'").select("doc_id", "text", "part").join(F.broadcast(following), "part")
-    first = made.where("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
-
-    def close(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            rows = []
-            for doc_id, text, after in zip(*(c.to_pylist() for c in batch.columns)):
-                codes, next_codes = code_points(text), code_points(after)
-                rows.append(_compare(doc_id, codes, sketch(codes), next_codes, sketch(next_codes)))
+                if before is not None:
+                    rows.append(_compare(*before[:3], codes, own))
+                before = None if after else (doc_id, codes, own, part)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _RESULT)], names=[n for n, _ in _RESULT])
-    return made.where("edge is null").select(*[n for n, _ in _RESULT]).unionByName(
-        last.join(first, "next").select("doc_id", "text", "after").mapInArrow(close, _RESULT_SQL)).select(*columns)
+
+    placed = (keyed.mapInArrow(assign, "doc_id long, text string, _h long, _part int, _after boolean").repartition("_part")
+              .sortWithinPartitions("_part", "_after", F.col("doc_id").desc_nulls_last(), "_h", "text"))
+    return placed.mapInArrow(run, _RESULT_SQL).select(*columns)

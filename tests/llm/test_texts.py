@@ -140,6 +140,32 @@ def test_edit_study_against_plain_version(spark):
     assert {r.fingerprint for r in syncmers.fingerprints(documents(spark, [(1, "abc"), (2, "abc")])).collect()} == {syncmers.written(sketch("abc"))}
 
 
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *row[1:]], row
+        new, old = row
+        for j, y in enumerate(b):
+            new[j + 1] = old[j] + 1 if x == y else max(old[j + 1], new[j])
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=40), st.lists(st.integers(0, 6), max_size=40))
+def test_matches_in_order(a, b):
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert syncmers.in_order(x, y) == syncmers._in_order_by_bits(x, y) == plain_common(a, b)
+
+
+def test_matches_in_order_of_many_repeats():
+    rng = random.Random(3)
+    a, b = ([rng.choice([1, 1, 1, 2, 3]) for _ in range(300)] for _ in range(2))
+    assert syncmers.in_order(np.array(a, np.uint64), np.array(b, np.uint64)) == plain_common(a, b)
+    run = np.ones(200_000, np.uint64)
+    assert syncmers.in_order(run, run[:150_000]) == 150_000
+
+
 def test_likeness_estimates_the_common_share():
     for seed in range(8):
         x, y = prose(seed, 600), prose(seed + 100, 600)
