@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import lean, slices
 
 #: Words, and what stands between white space, are remembered up to this length, up to this number each per worker.
 _SHORT, _REMEMBERED = 48, 300_000
@@ -301,7 +301,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -
         for batch in stream:
             for part in slices(batch, SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.counts(part.column(1)), pa.int64())], names=[key, "n_tokens"])
-    return docs.select(key, "text").mapInArrow(run, f"{key} long, n_tokens long")
+    return docs.select(key, "text").mapInArrow(lean(run), f"{key} long, n_tokens long")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:

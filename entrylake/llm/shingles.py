@@ -1,12 +1,16 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-At 0.8 two 64-bit SimHash fingerprints of these shingles differ in about ten bits, and in up to twenty: no block of them is sure to be
-shared, so they cannot be looked up. Candidates are found by MinHash instead: two texts share all ``ROWS`` minima of one of ``BANDS``
-bands with a chance of 1 - (1 - s**ROWS)**BANDS, which misses 5 of a million pairs at s = 0.8. Each candidate is then
-verified by its exact sets, so nothing less similar is ever linked.
+Candidates come from two indexes, and each is verified by its exact sets, so nothing less similar is ever linked.
 
-Texts of equal sets are one class from the start. A band shared by very many classes is not paired up: its first classes are compared to all others,
-those found near to one drop out, and twice as many come next.
+1. The byte-position index of ``simhash`` over fingerprints of the five-word shingles finds those that differ in at most three bits.
+2. At 0.8 two 64-bit fingerprints differ in about ten bits, and in up to twenty: no block of them is sure to be shared. The farther pairs are
+   found by MinHash: two texts share all ``ROWS`` minima of one of ``BANDS`` bands with a chance of 1 - (1 - s**ROWS)**BANDS, which misses 5 of a
+   million pairs at s = 0.8.
+
+Texts of equal sets are one class from the start. Only what is connected counts, so a band shared by very many classes is not paired up: in turns, one, two,
+four .. of its classes are compared to those that are not connected with them yet. Two classes that are near have similar distances from
+any third one, so those whose distances from the band's first class differ by more than 0.2 are passed over. A band is done when it is connected, or all of
+its classes had their turn; so no link between components is lost, however crowded a band is.
 """
 
 from __future__ import annotations
@@ -18,19 +22,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import raw, stored
+from .common import lean, raw, slices, stored
 from .components import components
-from .simhash import first_rows
+from .simhash import first_rows, majority, near_pairs
 from .suffix import _mix
 
 WIDTH = 5
 LEAST = Fraction(4, 5)
 ROWS, BANDS = 6, 40
-#: Bands shared by more classes than this are compared in turns.
+#: Bands shared by more classes than this are connected in turns.
 CROWDED = 64
 _AT_ONCE = 512
+_SLICE = 1 << 20
 _rng = np.random.default_rng(11)
 _FLIP = _rng.integers(0, 1 << 32, (ROWS * BANDS, 1), np.uint32)
 _TIMES = _rng.integers(0, 1 << 32, (ROWS * BANDS, 1), np.uint32) | np.uint32(1)
@@ -66,9 +71,10 @@ def bands(made: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id and _own of every row of ``docs`` (doc_id, _own, text), ``cls`` (a hash of the set), its ``bands`` and the ``members`` of the set."""
+    """doc_id and _own of every row of ``docs`` (doc_id, _own, text), ``cls`` (a hash of the set), its fingerprint ``fp``, its ``bands`` and the
+    ``members`` of the set."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, _SLICE, 2)):
             sets: list[np.ndarray] = []
             first, size = 0, 0
             for row, text in enumerate(raw(batch.column(2)), 1):
@@ -79,48 +85,88 @@ def shingled(docs: DataFrame) -> DataFrame:
                 cls = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, row - first), batch.column(1).slice(first, row - first),
-                     pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "_own", "cls", "bands", "members"])
+                     pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array([majority(s) for s in sets], pa.int64()),
+                     pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
+                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "_own", "cls", "fp", "bands", "members"])
                 sets, first, size = [], row, 0
     return docs.select(F.col("doc_id").cast("long"), "_own", "text").mapInArrow(
-        run, "doc_id long, _own long, cls long, bands array<long>, members array<long>")
+        lean(run), "doc_id long, _own long, cls long, fp long, bands array<long>, members array<long>")
 
 
-def near_classes(made: DataFrame, classes: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED) -> DataFrame:
-    """Verified links (a, b) between ``classes`` (cls, rank, size, bands); ``made`` has the members of each.
+def _measured(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) with the sizes of their sets (n_a, n_b) and of what these have in common (``both``)."""
+    pairs = stored(pairs.select("a", "b").distinct(), "candidates")
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = stored(classes.select("cls", "members").join(asked, "cls", "left_semi"), "members")
+    a, b = (sets.select(F.col("cls").alias(to), F.col("members").alias(f"m_{to}")) for to in "ab")
+    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", F.size("m_a").alias("n_a"), F.size("m_b").alias("n_b"),
+                                                         F.size(F.array_intersect("m_a", "m_b")).alias("both")), "measured")
+
+
+def _near(measured: DataFrame, least: Fraction) -> DataFrame:
+    """Links (a, b): |both| / |either| >= least, in whole numbers."""
+    return measured.where(F.col("both") * (least.numerator + least.denominator) >= (F.col("n_a") + F.col("n_b")) * least.numerator).select("a", "b")
+
+
+def _fitting(least: Fraction) -> Column:
+    """Whether the sizes of two sets allow them to be near."""
+    return F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
 
-    Uncrowded bands give every near pair. Crowded ones may give fewer, but of two classes that no link leads on to an earlier one, none are near.
-    """
-    rows = classes.select(F.struct("rank", "cls").alias("at"), "size", F.explode("bands").alias("band"))
-    several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(rows.join(several, "band"), "bands")
-
-    def candidates(some: DataFrame, others: DataFrame) -> DataFrame:
-        a, b = (x.select("band", F.col("at").alias(to), F.col("size").alias(f"n_{to}")) for x, to in ((some, "a"), (others, "b")))
-        fits = F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
-        return a.join(b, "band").where((F.col("a") < F.col("b")) & fits).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "candidates")
-        asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        sets = stored(made.join(asked, "cls", "left_semi").groupBy("cls").agg(F.first("members").alias("members")), "members")
-        a, b = (sets.select(F.col("cls").alias(to), F.col("members").alias(f"m_{to}")) for to in "ab")
-        # |both| / |either| >= least, in whole numbers
-        near = (F.size(F.array_intersect("m_a", "m_b")) * (least.numerator + least.denominator)
-                >= (F.size("m_a") + F.size("m_b")) * least.numerator)
-        return stored(pairs.join(b, "b").join(a, "a").where(near).select("a", "b"), "links")
+
+def by_fingerprints(classes: DataFrame, least: Fraction = LEAST) -> DataFrame:
+    """Verified links between ``classes`` (cls, fp, members): the first class of each fingerprint with the others, and with those of near fingerprints."""
+    first = stored(classes.groupBy("fp").agg(F.min("cls").alias("a")), "fingerprints")
+    equal = classes.join(first, "fp").where("a <> cls").select("a", F.col("cls").alias("b"))
+    near = (near_pairs(first.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+            .join(first.withColumnsRenamed({"fp": "x"}), "x").join(first.withColumnsRenamed({"fp": "y", "a": "b"}), "y").select("a", "b"))
+    return _near(_measured(classes, equal.unionByName(near)), least)
+
+
+def by_bands(classes: DataFrame, links: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED) -> DataFrame:
+    """Verified links between ``classes`` (cls, size, bands, members), which with ``links`` connect any two near classes that share a band."""
+    rows = classes.select("cls", "size", F.explode("bands").alias("band"))
+    # An order of the classes that has nothing to do with what they hold, the same in all bands.
+    order = F.struct(F.pmod(F.xxhash64("cls"), F.lit(1 << 31)).alias("u"), F.col("cls").alias("c"))
+    several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(order)["c"].alias("pivot")).where("n > 1")
+    shared = stored(rows.join(several, "band").select("band", "n", "pivot", "cls", "size", order.alias("o")), "bands")
 
     few = shared.where(F.col("n") <= max_crowd)
-    links = [verified(candidates(few, few))]
-    crowd, turn = shared.where(F.col("n") > max_crowd).select("band", "at", "size"), 0
-    while not crowd.isEmpty():
-        placed = crowd.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("at")))
-        links.append(verified(candidates(placed.where(F.col("place") <= 1 << turn), crowd)))
-        gone = links[-1].select(F.col("b").alias("cls")).distinct()
-        crowd = stored(placed.where(F.col("place") > 1 << turn).withColumn("cls", F.col("at.cls")).join(gone, "cls", "left_anti")
-                       .select("band", "at", "size"), "crowd")
+    a, b = (few.select("band", F.col("cls").alias(to), F.col("size").alias(f"n_{to}")) for to in "ab")
+    found = [links, _near(_measured(classes, a.join(b, "band").where((F.col("a") < F.col("b")) & _fitting(least))), least)]
+    crowd = shared.where(F.col("n") > max_crowd)
+    if crowd.isEmpty():
+        return found[1]
+    from_pivot = _measured(classes, crowd.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
+    found.append(_near(from_pivot, least))
+    distance = 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
+    known = from_pivot.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), distance.alias("d"))
+    # Of a band's n classes about 2**t have turn t.
+    turn_of = F.floor(F.log2(F.col("o.u") * F.col("n") / F.lit(float(1 << 31)) + 1)).cast("int")
+    crowd = stored(crowd.join(known, ["pivot", "cls"], "left").select("band", "cls", "size", "o", F.coalesce("d", F.lit(0.0)).alias("d"),
+                                                                     turn_of.alias("turn")), "crowd")
+    turns, turn = crowd.agg(F.max("turn")).first()[0], 0
+    while turn <= turns:
+        joined = components(reduce(DataFrame.unionByName, found)).select(F.col("node").alias("cls"), F.col("root").alias("root"))
+        left = crowd.where(F.col("turn") >= turn).join(joined, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        several = left.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+        left = stored(left.join(several, "band", "left_semi"), "left")
+        if left.isEmpty():
+            break
+        a, b = (left.select("band", *[F.col(c).alias(f"{n}_{to}") for c, n in
+                                      (("size", "n"), ("o", "o"), ("d", "d"), ("turn", "t"), ("root", "r"))], F.col("cls").alias(to)) for to in "ab")
+        apart = float(1 - least) + 1e-9
+        pairs = a.where(F.col("t_a") == turn).join(b, "band").where(
+            (F.col("r_a") != F.col("r_b")) & ((F.col("t_b") > turn) | (F.col("o_a") < F.col("o_b")))
+            & (F.abs(F.col("d_a") - F.col("d_b")) <= apart) & _fitting(least))
+        found.append(_near(_measured(classes, pairs), least))
         turn += 1
-    return reduce(DataFrame.unionByName, links)
+    return reduce(DataFrame.unionByName, found[1:])
+
+
+def near_classes(classes: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED) -> DataFrame:
+    """Verified links (a, b) between ``classes`` (cls, fp, size, bands, members) that connect all near ones."""
+    links = by_fingerprints(classes, least)
+    return links.unionByName(by_bands(classes, links, least, max_crowd))
 
 
 def keep_one(docs: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED) -> DataFrame:
@@ -128,9 +174,9 @@ def keep_one(docs: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED)
 
     Null ids come last. Repeated rows of the one that stays are reduced to one. Texts without words are copies of each other.
     """
-    made = stored(shingled(docs.select("doc_id", F.xxhash64("text").alias("_own"), "text")), "shingles")
+    made = shingled(docs.select("doc_id", F.xxhash64("text").alias("_own"), "text"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_own").alias("o"))
-    classes = stored(made.groupBy("cls").agg(F.min(rank).alias("rank"), F.first(F.size("members")).alias("size"), F.first("bands").alias("bands")),
-                     "classes")
-    member = components(near_classes(made, classes, least, max_crowd)).withColumnRenamed("node", "cls")
+    classes = stored(made.groupBy("cls").agg(F.min(rank).alias("rank"), F.first("fp").alias("fp"), F.first(F.size("members")).alias("size"),
+                                                   F.first("bands").alias("bands"), F.first("members").alias("members")), "classes")
+    member = components(near_classes(classes, least, max_crowd)).withColumnRenamed("node", "cls")
     return first_rows(docs, classes.join(member, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rank").alias("first")))

@@ -51,6 +51,15 @@ def fingerprint(data: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big", signed=True)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 majority bits over 64-bit hashes; zero if there are none."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), _SHINGLES_AT_ONCE):
+        part = hashes[start:start + _SHINGLES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``key`` columns and ``fp`` long of every row; a null text counts as empty."""
     source = docs.select(*key, F.col(text).cast("string").alias("_text"))

@@ -26,14 +26,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import raw, stored
+from .common import lean, raw, slices, stored
 
 WIDTH = 400
 GRAM = 128
-#: Bytes of different regions that are indexed together; a single anchor with more is settled by whole windows.
+#: Bytes of different regions of one anchor that are indexed; an anchor with more is settled by whole windows. Smaller anchors are
+#: indexed together up to a share of it: the index takes some 90 times its block in memory.
 BLOCK_BYTES = 1 << 20
+SHARED = 4
+#: Bytes of text that a task works on at once.
+_SLICE = 1 << 20
 #: A text is cut into segments of so many windows; segments up to so many bytes are handled at once.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 #: Bytes that stand for a word where repeats are judged by words.
 CODE = 6
 _SEPARATOR = 255  # never occurs in UTF-8
@@ -135,14 +139,19 @@ def regions(data: list[bytes], width: int, gram: int) -> Iterator[tuple[np.ndarr
 _OWNER = [("doc_id", pa.int64()), ("own", pa.int64())]
 
 
-def _scan(width: int, gram: int):
+def _read(column: pa.Array, coded: bool) -> list[bytes]:
+    """Texts as bytes, or as the codes of their words."""
+    return [word_codes(t) for t in raw(column)] if coded else raw(column)
+
+
+def _scan(width: int, gram: int, coded: bool):
     schema = pa.schema([*_OWNER, ("anchor", pa.int64()), ("region", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()),
                         ("times", pa.int32())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, _SLICE, 2)):
             ids, own = batch.column(0), batch.column(1)
-            for row, anchor, region, lo, n, times in regions(raw(batch.column(2)), width, gram):
+            for row, anchor, region, lo, n, times in regions(_read(batch.column(2), coded), width, gram):
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row)), own.take(pa.array(row)), pa.array(anchor), pa.array(region), pa.array(lo),
                      pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))], schema=schema)
@@ -237,33 +246,33 @@ def _index(width: int, block_bytes: int):
         for batch in stream:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and group[0][0] != row[0]:
-                    block, size, group, extra = block + group, size + extra, [], 0
-                    places.clear()
-                    if size >= block_bytes:
+                    if block and size + extra > block_bytes // SHARED:
                         if (made := marks(block)) is not None:
                             yield made
                         block, size = [], 0
+                    block, size, group, extra = block + group, size + extra, [], 0
+                    places.clear()
                 if row[2:5] not in places:
                     places.add(row[2:5])
                     group.append(row)
                     extra += len(row[1]) + 1
-        if (block := block + group) and (made := marks(block)) is not None:
-            yield made
+        for last in ([block, group] if size + extra > block_bytes // SHARED else [block + group]):
+            if last and (made := marks(last)) is not None:
+                yield made
     return run
 
 
-def _cut(width: int, n_docs: int):
-    """Regions of each row's text; the last column has their places."""
+def _cut(width: int, coded: bool):
+    """Regions of each row's text; rows are (doc_id, _own, text, places)."""
     schema = pa.schema([("anchor", pa.int64()), ("bytes", pa.binary()), *_OWNER, ("lo", pa.int64()), ("single", pa.bool_())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: set[tuple] = set()
-        for batch in stream:
-            ids, own = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "_own"))
-            data = raw(batch.column(batch.schema.get_field_index("text")))
+        for batch in (part for whole in stream for part in slices(whole, _SLICE, 2)):
+            ids, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             # Repeated rows come together; one of them is enough.
             seen, rows = set(), []
-            for text, owner, places in zip(data, zip(ids, own), batch.column(n_docs).to_pylist()):
+            for text, owner, places in zip(_read(batch.column(2), coded), zip(ids, own), batch.column(3).to_pylist()):
                 if owner not in before and owner not in seen:
                     rows += [(p["anchor"], text[p["lo"]:p["lo"] + p["n"] + width - 1], *owner, p["lo"], p["single"]) for p in places]
                 seen.add(owner)
@@ -287,12 +296,12 @@ def _windows(width: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, coded: bool = False) -> DataFrame:
     """(doc_id, own, lo, hi): byte spans of repeated windows; they may touch and overlap. ``docs`` has doc_id, text and
-    ``_own``, which together stand for a text; rows that agree in them have their spans once."""
-    owner = ["doc_id", F.col("_own").alias("own")]
-    found = stored(docs.select(*owner, "text").mapInArrow(
-        _scan(width, gram), "doc_id long, own long, anchor long, region long, lo long, n int, times int"), "regions")
+    ``_own``, which together stand for a text; rows that agree in them have their spans once. If ``coded``, bytes are those of the codes of the words."""
+    docs = docs.select("doc_id", "_own", "text")
+    found = stored(docs.mapInArrow(
+        lean(_scan(width, gram, coded)), "doc_id long, own long, anchor long, region long, lo long, n int, times int"), "regions")
     rows = found.where("times > 0")
     classes = rows.groupBy("anchor", "region").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "own", "lo", "n")).alias("one"))
     anchors = (classes.groupBy("anchor").agg(F.sum("times").alias("all_times"), F.count(F.lit(1)).alias("classes"),
@@ -311,13 +320,16 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_
         places = (some.select("one.*", F.struct(F.col("anchor"), F.col("one.lo").alias("lo"), F.col("one.n").alias("n"),
                                                 (F.col("times") == 1).alias("single")).alias("place"))
                   .groupBy(F.col("doc_id").alias("_d"), F.col("own").alias("_o")).agg(F.collect_list("place").alias("_places")))
-        cut = (_with(docs, places, "inner").select(*docs.columns, "_places")
-               .mapInArrow(_cut(width, len(docs.columns)), "anchor long, bytes binary, doc_id long, own long, lo long, single boolean"))
+        marked = _with(docs, places, "inner").select(*docs.columns, "_places")
+        cut = _cut(width, coded)
         if not large:
-            spans = spans.unionByName(cut.repartition("anchor").sortWithinPartitions("anchor")
-                                      .mapInArrow(_index(width, block_bytes), "doc_id long, own long, lo long, hi long"))
+            cut_out = marked.mapInArrow(lean(cut), "anchor long, bytes binary, doc_id long, own long, lo long, single boolean")
+            spans = spans.unionByName(cut_out.repartition("anchor").sortWithinPartitions("anchor")
+                                      .mapInArrow(lean(_index(width, block_bytes)), "doc_id long, own long, lo long, hi long"))
             continue
-        windows = stored(cut.mapInArrow(_windows(width), "window binary, doc_id long, own long, lo long, single boolean"), "windows")
+        of_regions = _windows(width)  # in the same worker as ``cut``
+        windows = stored(marked.mapInArrow(lean(lambda rows: of_regions(cut(rows))),  # noqa: B023, run before the loop goes on
+                                           "window binary, doc_id long, own long, lo long, single boolean"), "windows")
         again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
         spans = spans.unionByName(windows.where("single").join(again, "window", "left_semi")
                                   .select("doc_id", "own", "lo", (F.col("lo") + width).alias("hi")))
@@ -354,16 +366,6 @@ def word_codes(data: bytes) -> bytes:
     return (np.frombuffer(hashes, np.uint8).reshape(-1, 8)[:, :CODE] & 127).tobytes()
 
 
-def _coded(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, _own, text) with the codes of the words in place of each text."""
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            made = pa.array([word_codes(t) for t in raw(batch.column(2))], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], names=["doc_id", "_own", "text"])
-    narrow = docs.select("doc_id", "_own", "text")
-    return narrow.mapInArrow(run, narrow.schema)
-
-
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of every word."""
     space = np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
@@ -391,10 +393,10 @@ def has_sparse_window(data: bytes, width: int, words: int) -> bool:
 def _sparse(docs: DataFrame, width: int, words: int) -> DataFrame:
     """The rows of ``docs`` (doc_id, _own, text) whose text has a sparse window."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, _SLICE, 2)):
             yield batch.filter(pa.array([has_sparse_window(t, width, words) for t in raw(batch.column(2))], pa.bool_()))
     narrow = docs.select("doc_id", "_own", "text")
-    return narrow.mapInArrow(run, narrow.schema)
+    return narrow.mapInArrow(lean(run), narrow.schema)
 
 
 def in_bytes(data: bytes, spans: list[dict] | None) -> list[dict] | None:
@@ -424,7 +426,7 @@ def with_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_byte
     if words:
         # One after the other, so that their workers are not there at once. Bytes are read only where runs of words do not settle them.
         run = (words + 1) * CODE
-        by_words = stored(repeated_spans(_coded(keyed), run, min(gram, run // 2), block_bytes), "word-spans")
+        by_words = stored(repeated_spans(keyed, run, min(gram, run // 2), block_bytes, coded=True), "word-spans")
         by_bytes = stored(repeated_spans(stored(_sparse(keyed, width, words), "sparse"), width, gram, block_bytes), "byte-spans")
         found = by_bytes.withColumn("coded", F.lit(False)).unionByName(by_words.withColumn("coded", F.lit(True)))
         fields.append("coded")
@@ -441,7 +443,7 @@ def dedup_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                         ("kept_sha256", pa.string())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, _SLICE)):
             rows = []
             for i, data, spans in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist()):
                 runs = merged(spans)
@@ -450,7 +452,7 @@ def dedup_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
     return with_spans(docs.select("doc_id", "text"), width).mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
@@ -461,7 +463,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataF
     A text stays valid UTF-8: of a character that is partly covered nothing is removed. A column n_chars follows the new text.
     """
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, _SLICE)):
             made = []
             for data, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 if data is not None and spans:
@@ -479,6 +481,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataF
     # The other columns travel in one, so that their names meet none of those used here.
     rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest")
     marked = with_spans(docs.select("doc_id", "text", rest), width, words=words).select("_rest", "text", "_spans")
-    out = marked.mapInArrow(run, StructType([marked.schema["_rest"], docs.schema["text"]]))
+    out = marked.mapInArrow(lean(run), StructType([marked.schema["_rest"], docs.schema["text"]]))
     out = out.select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import stored
+from .common import lean, slices, stored
 
 #: Most labelled texts, and most characters of them, that the model is fitted on. The texts with the smallest hashes are taken.
 MAX_TEXTS = 2_000
@@ -30,6 +30,8 @@ BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 REJECT = 0.3
+#: Bytes of text that a task scores at once.
+_SLICE = 1 << 20
 #: Buckets that fewer texts of the sample have stay at zero.
 MIN_TEXTS = 5
 _ROUNDS = 80
@@ -215,10 +217,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shared.value))
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, _SLICE, at)):
             made = pa.array(scorer(batch.column(at)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
