@@ -13,23 +13,38 @@ from entrylake.llm.common import stored, table
 from entrylake.llm.queries import vocabulary
 
 
+#: Texts may be long: with Spark's 10,000 rows a batch between it and Python takes tens of megabytes on either side.
+BATCH_ROWS = 2_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model accepts."""
+    """Documents that the toxicity model accepts. Null and empty texts are judged too, repeated rows each; an empty table stays empty."""
+    _small_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies (0.8 of five-word shingles in common): that of the smallest id."""
+    """One document of every group of near copies (0.8 of five-word shingles in common): that of the smallest id.
+
+    SimHash fingerprints link the nearest ones, MinHash bands the others; exact sets decide. Texts without words are copies of each other; null ids
+    come last; repeated rows become one."""
+    _small_batches(spark)
     return shingles.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of more than 50 words, or of 400 bytes, that stand elsewhere too."""
+    """All documents, without the passages of more than 50 words, or of 400 bytes, that stand elsewhere too. Null texts stay null."""
+    _small_batches(spark)
     return suffix.remove_repeats(docs, words=50)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every token of every document in a training sequence."""
+    """The place of every token of every document in a training sequence; a text without tokens has a row without a place."""
+    _small_batches(spark)
     return packing.pack_texts(docs, vocabulary())
 
 
