@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas as S
 from ..functions.text import token_code, tokens
 from ..functions.vectors import norm, vector_problem
+from ..session import work_dir
 from . import topk as K
 
 # --- embeddings ------------------------------------------------------------------
@@ -180,8 +182,9 @@ class _Projections:
         return bucket * self.tables + np.arange(self.tables)
 
 
-def _in_cells(df: DataFrame, key: str, dim: int, assign: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Rows (key, v, cell), one for each cell of each searchable vector."""
+def _in_cells(df: DataFrame, key: str, dim: int, assign: Callable[[np.ndarray], np.ndarray],
+              keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, v, cell, *keep), one for each cell of each searchable vector."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, block = K.list_matrix(batch.column("v"), dim)
@@ -189,10 +192,12 @@ def _in_cells(df: DataFrame, key: str, dim: int, assign: Callable[[np.ndarray],
             taken = pa.array(np.repeat(rows, cells.shape[1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key).take(taken), batch.column("v").take(taken),
-                 pa.array(cells.ravel().astype(np.int64))], names=[key, "v", "cell"])
+                 pa.array(cells.ravel().astype(np.int64)), *[batch.column(c).take(taken) for c in keep]],
+                names=[key, "v", "cell", *keep])
 
     shape = f"{key} long, v {df.schema['v'].dataType.simpleString()}, cell long"
-    return df.select(F.col(key).cast("long").alias(key), "v").mapInArrow(kernel, shape)
+    shape += "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(F.col(key).cast("long").alias(key), "v", *keep).mapInArrow(kernel, shape)
 
 
 class _Router:
@@ -215,11 +220,13 @@ class _Router:
                 yield entries, self.asked[name]
 
 
-def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_000, seed: int = 7) -> IvfIndex:
+def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_000, seed: int = 7,
+              keep: tuple[str, ...] = ()) -> IvfIndex:
     """Inverted-file index: k-means cells of the unit vectors.
 
     The centres are learnt from at most about ``train_rows`` vectors; every vector is then
-    assigned to a cell. ``ivf_save`` keeps it for many searches.
+    assigned to a cell. ``ivf_save`` keeps it for many searches. The columns ``keep`` of the
+    corpus stay with its rows, for filters.
     """
     usable = corpus.where(vector_problem(F.col("v"), dim).isNull())
     unit = normalize(usable.select("id", "v"), "v")
@@ -228,7 +235,7 @@ def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_0
     model = (KMeans(k=cells, seed=seed, featuresCol="_f", maxIter=15, initSteps=3)
              .fit(part.select(array_to_vector("v").alias("_f"))))
     centres = np.array(model.clusterCenters())
-    return IvfIndex(_in_cells(usable, "id", dim, _Cells(centres, 1)), centres)
+    return IvfIndex(_in_cells(usable, "id", dim, _Cells(centres, 1), keep), centres)
 
 
 def ivf_save(index: IvfIndex, path: str) -> None:
@@ -269,6 +276,149 @@ def ivf_search(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, metric:
     return K.rank_hits(hits, k, metric)
 
 
+@dataclass
+class ProbedHits:
+    """``hits`` (q_id, rnk, id, score) and, per query, what was read for them: ``effort`` (q_id, cells_read, rows_read)."""
+
+    hits: DataFrame
+    effort: DataFrame
+
+
+class _Asked:
+    """Sends the entries of a batch to the queries that ask for their cell; each asks for cells of its own."""
+
+    def __init__(self, probes: list[tuple[int, np.ndarray]]):
+        cells = np.concatenate([c for _, c in probes])
+        who = np.repeat([q for q, _ in probes], [len(c) for _, c in probes])
+        order = np.argsort(cells, kind="stable")
+        names, begins = np.unique(cells[order], return_index=True)
+        self.asked = dict(zip(names.tolist(), np.split(who[order], begins[1:])))
+
+    def __call__(self, batch: pa.RecordBatch, rows: np.ndarray, block: np.ndarray):
+        cells = batch.column("cell").to_numpy()[rows]
+        order = np.argsort(cells, kind="stable")
+        names, begins = np.unique(cells[order], return_index=True)
+        for name, entries in zip(names.tolist(), np.split(order, begins[1:])):
+            if name in self.asked:
+                yield entries, self.asked[name]
+
+
+def cell_reach(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell, the number of ``rows`` (v, cell) in it and the widest angle between one and the centre.
+
+    Each task gives one row per cell, so the driver gets as many as there are centres.
+    """
+    dim = centres.shape[1]
+    unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, least = np.zeros(len(unit), np.int64), np.ones(len(unit))
+        step = K.rows_per_matrix(dim)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                good, block = K.list_matrix(part.column("v"), dim)
+                cell = part.column("cell").to_numpy()[good]
+                near = np.einsum("ij,ij->i", block, unit[cell]) / np.linalg.norm(block, axis=1)
+                np.add.at(held, cell, 1)
+                np.minimum.at(least, cell, near)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some]), pa.array(least[some])], names=["cell", "n", "near"])
+
+    n, least = np.zeros(len(unit), np.int64), np.ones(len(unit))
+    found = (rows.select("v", "cell").mapInArrow(kernel, "cell long, n long, near double")
+             .groupBy("cell").agg(F.sum("n").alias("n"), F.min("near").alias("near")))
+    for r in found.collect():
+        n[r["cell"]], least[r["cell"]] = r["n"], r["near"]
+    return n, np.arccos(np.clip(least, -1.0, 1.0))
+
+
+def _bounds(queries: np.ndarray, centres: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The highest cosine that a query can have with an entry of a cell: the angle to the centre less the cell's reach."""
+    unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
+    near = queries @ unit.T / np.linalg.norm(queries, axis=1)[:, None]
+    return np.cos(np.maximum(np.arccos(np.clip(near, -1.0, 1.0)) - reach[None, :], 0.0))
+
+
+def _kept(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared working folder and read back: a round does not compute the ones before it again."""
+    spark = df.sparkSession
+    place = work_dir(spark, purpose)
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def ivf_filtered(queries: DataFrame, index: IvfIndex, k: int, where: DataFrame | Column | None = None,
+                 min_sim: float | None = None, max_cells: int | None = None, skip_self: bool = False,
+                 max_bytes: int = K.BROADCAST_BYTES, first_cells: int = 1) -> ProbedHits:
+    """Top-k by cosine among the indexed entries that pass a filter, reading as few cells as the answer needs.
+
+    ``where`` is a condition on columns that the index keeps, or a DataFrame with the ids to search; ``min_sim`` drops
+    lower scores. Cells are probed in rounds, each query its own in the order of their bounds: the best cosine that
+    an entry which passes the filter can have there. A query stops when it holds k hits and the next bound is below the worst
+    of them (or below ``min_sim``): the result is then exact. ``max_cells`` stops it earlier, and the result is approximate. A
+    selective filter empties most cells and narrows the others, and the search goes on until k hits are found.
+
+    Queries are searched in blocks that fit ``max_bytes``; the driver holds their vectors and a bound per query and cell. Unusable
+    vectors never enter.
+    """
+    if first_cells < 1 or (max_cells is not None and max_cells < 1):
+        raise ValueError("at least one cell has to be read")
+    dim, n_cells = index.centres.shape[1], len(index.centres)
+    rows = index.rows
+    if isinstance(where, Column):
+        rows = rows.where(where)
+    elif where is not None:
+        rows = rows.join(where.select("id").distinct(), "id", "left_semi")
+    rows = rows.select("id", "v", "cell")
+    size, reach = cell_reach(rows, index.centres)
+    limit = min(n_cells if max_cells is None else max_cells, int((size > 0).sum()))
+    queries = queries.select(F.col("q_id").cast("long").alias("q_id"), "v")
+    per_block = max(1, min(max_bytes // (8 * dim), max_bytes // (8 * n_cells)))
+    blocks = max(1, -(-queries.count() // per_block))
+    found = []
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
+        packed = K.pack(some, K.list_matrix, dim, 4 * max_bytes)  # blocks dealt by hash are not quite equal
+        if packed is None:
+            raise ValueError("too many queries of one id")
+        found.append(_probe(packed, rows, index.centres, size, reach, k, limit, min_sim, skip_self, first_cells))
+    return ProbedHits(reduce(DataFrame.unionByName, [h for h, _ in found]), reduce(DataFrame.unionByName, [e for _, e in found]))
+
+
+def _probe(packed: tuple[np.ndarray, np.ndarray], rows: DataFrame, centres: np.ndarray, size: np.ndarray, reach: np.ndarray, k: int,
+           limit: int, min_sim: float | None, skip_self: bool, first_cells: int) -> tuple[DataFrame, DataFrame]:
+    """Hits of a block of queries, and what each has read."""
+    spark, (q_ids, vectors), dim = rows.sparkSession, packed, centres.shape[1]
+    options = {"skip_self": skip_self, "overlap": False, "floor": min_sim}
+    bound = np.where(size > 0, _bounds(vectors, centres, reach), -np.inf) if len(q_ids) else np.empty((0, len(centres)))
+    order = np.argsort(-bound, axis=1, kind="stable")
+    ranked = np.take_along_axis(bound, order, axis=1)
+    # Scores are rounded to six decimals.
+    worst = np.full(len(q_ids), -np.inf if min_sim is None else min_sim) - 1e-6
+    hits = spark.createDataFrame([], "q_id long, rnk int, id long, score double")
+    at, step, read = 0, first_cells, np.zeros(len(q_ids), np.int64)
+    while at < limit:
+        stop = min(at + step, limit)
+        able = (ranked[:, at:stop] >= worst[:, None]) & (ranked[:, at:stop] > -np.inf)
+        probes = [(q, order[q, at:stop][able[q]]) for q in np.flatnonzero(able[:, 0]).tolist()]
+        if not probes:
+            break
+        for q, cells in probes:
+            read[q] += len(cells)
+        cells = np.unique(np.concatenate([c for _, c in probes])).tolist()  # as many as there are centres at most
+        new = K.scan(packed, rows.where(F.col("cell").isin(cells)), K.list_matrix, dim, k, "cosine", _Asked(probes), **options)
+        hits = _kept(K.rank_hits(hits.select("q_id", "id", "score").unionByName(new), k), "probed")
+        full = {r["q_id"]: r["score"] for r in hits.where(F.col("rnk") == k).select("q_id", "score").collect()}  # one per query
+        if full:
+            worst = np.maximum(worst, np.array([full.get(q, -np.inf) for q in q_ids.tolist()]) - 1e-6)
+        at, step = stop, 2 * step
+    # Queries read the cells at the front of their order.
+    upto = np.concatenate([np.zeros((len(q_ids), 1), np.int64), np.cumsum(size[order], axis=1)], axis=1)
+    effort = [(int(q), int(n), int(upto[i, n])) for i, (q, n) in enumerate(zip(q_ids, read))]
+    return hits, spark.createDataFrame(effort, "q_id long, cells_read long, rows_read long")
+
+
 def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tables: int = 8,
                bucket_length: float = 0.5, seed: int = 7, skip_self: bool = False,
                max_bytes: int = K.BROADCAST_BYTES, block_rows: int = K.BLOCK_ROWS) -> DataFrame:

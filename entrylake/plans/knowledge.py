@@ -9,7 +9,8 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import entries as E, search as X
+from ..operators import compressed as C, entries as E, search as X, upkeep as U
+from ..session import work_dir
 from ..sources.tables import spread_small
 from .inputs import spread_table, table, view, with_views
 
@@ -36,8 +37,7 @@ def _knn(metric: str, min_sim: float | None = None):
 
 
 def _filtered(spark: SparkSession, d: str) -> DataFrame:
-    good = E.filter_entries(view(spark, d, "entries"), any_tags=["de", "fr"], all_tags=["unrated"])
-    return X.knn(_vector_queries(spark, d), _corpus(spark, d), 5, _DIM, where=good, skip_self=True)
+    return X.knn(_vector_queries(spark, d), _corpus(spark, d), 5, _DIM, where=_good_entries(spark, d), skip_self=True)
 
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +64,45 @@ def _ivf_full(spark: SparkSession, d: str) -> DataFrame:
     return X.ivf_search(_vector_queries(spark, d), index, 5, nprobe=4, skip_self=True)
 
 
+def _good_entries(spark: SparkSession, d: str) -> DataFrame:
+    return E.filter_entries(view(spark, d, "entries"), any_tags=["de", "fr"], all_tags=["unrated"])
+
+
+def _ivf_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The filter of ``knn_filtered``, given as ids; all cells may be read."""
+    index = X.ivf_build(_corpus(spark, d), _DIM, cells=16)
+    return X.ivf_filtered(_vector_queries(spark, d), index, 5, _good_entries(spark, d), skip_self=True).hits
+
+
+def _ivf_where(spark: SparkSession, d: str) -> DataFrame:
+    """A condition on a column that the index keeps, and a floor."""
+    corpus = spread_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    index = X.ivf_build(corpus, _DIM, cells=16, keep=("label",))
+    return X.ivf_filtered(_vector_queries(spark, d), index, 5, F.col("label").isin(1, 4, 7), min_sim=0.2, skip_self=True).hits
+
+
+def _pq(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of 16 bytes in all cells; exact scores for the entries that they cannot rule out."""
+    index = C.pq_build(X.ivf_build(_corpus(spark, d), _DIM, cells=16), parts=16)
+    return C.pq_search(_vector_queries(spark, d), index, 5, nprobe=16, skip_self=True).hits
+
+
+def _upkept(spark: SparkSession, d: str) -> DataFrame:
+    """An index after two batches of changes, the splitting of its large cells and a compaction, searched in all cells."""
+    root = work_dir(spark, "index")
+    corpus = _corpus(spark, d)
+    U.index_create(X.ivf_build(corpus, _DIM, cells=8), root)
+    first = corpus.where("id % 3 = 0").select("id", F.reverse("v").alias("v"), F.lit(1).alias("seq"), F.when(F.col("id") % 2 == 0, "delete").alias("op"))
+    U.index_apply(spark, root, first.unionByName(first.select("id", F.array(F.lit(1.0)).alias("v"), F.lit(0).alias("seq"), F.lit("put").alias("op"))))
+    second = corpus.where("id % 5 = 0").select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(1000000)).alias("id"),
+                                               F.reverse("v").alias("v"), F.lit(2).alias("seq"), F.lit("put").alias("op"))
+    U.index_apply(spark, root, second)
+    U.index_split(spark, root, max_rows=60)
+    U.index_compact(spark, root)
+    index = U.index_load(spark, root)
+    return X.ivf_search(_vector_queries(spark, d), index, 5, nprobe=len(index.centres), skip_self=True)
+
+
 def _lsh(spark: SparkSession, d: str) -> DataFrame:
     return X.lsh_search(_vector_queries(spark, d), _corpus(spark, d), 5, _DIM, bucket_length=0.1, skip_self=True)
 
@@ -153,6 +192,10 @@ QUERIES = {
     "search_with_resources": _hits_with_resources,
     "ivf_search": _ivf,
     "ivf_search_all_cells": _ivf_full,
+    "ivf_filtered": _ivf_filtered,
+    "ivf_filtered_where": _ivf_where,
+    "pq_search": _pq,
+    "ivf_upkeep": _upkept,
     "lsh_search": _lsh,
     "recall_at_k": _recall,
     "search_log": _replay,
@@ -252,6 +295,20 @@ res as ({_CODE} union all {_MD_LINKS})
 select h.q as q_id, h.rnk, h.id, r.kind, r.pos, r.content
 from hits h left join res r on r.entry_id = h.id where h.rnk <= 5"""),
     "ivf_search_all_cells": _knn_sql(_COSINE),
+    "ivf_upkeep": f"""
+with b as (
+  select vec_id as id, embedding as v from embeddings where vec_id % 3 <> 0 and vec_id % 10 <> 0
+  union all select vec_id, list_reverse(embedding) from embeddings where vec_id % 10 = 0 or (vec_id % 3 = 0 and vec_id % 2 = 1)
+  union all select vec_id + 1000000, list_reverse(embedding) from embeddings where vec_id % 5 = 0 and vec_id % 2 = 1),
+scored as (
+  select a.vec_id as q_id, b.id, round({_COSINE.replace('b.embedding', 'b.v')}, 6) + 0.0 as score
+  from embeddings a join b on a.vec_id <> b.id)
+select q_id, (row_number() over (partition by q_id order by score desc, id))::int as rnk, id, score
+from scored qualify rnk <= 5""",
+    "pq_search": _knn_sql(_COSINE),
+    "ivf_filtered": _knn_sql(_COSINE, where="""id in (select id from entries
+  where list_has_any(tags, ['de', 'fr']) and list_contains(tags, 'unrated'))"""),
+    "ivf_filtered_where": _knn_sql(_COSINE, where="score >= 0.2 and id in (select vec_id from embeddings where label in (1, 4, 7))"),
     "search_log": f"""with {search_ctes("(select * from conversations where role = 'user')", 'conv_id * 1048576 + turn')}
 select q // 1048576 as conv_id, q % 1048576 as turn, rnk, id, score from hits where rnk <= 3""",
 }
