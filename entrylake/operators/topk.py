@@ -255,11 +255,22 @@ def pack(queries: DataFrame, matrix: Callable, dim: int,
     """The queries (q_id, v) as one matrix, or None if it would exceed ``max_bytes``; counted first."""
     if queries.count() > max_bytes // (8 * dim):
         return None
-    table = queries.select(F.col("q_id").cast("long").alias("q_id"), "v").toArrow()
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = rows_per_matrix(dim)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                rows, block = matrix(part.column("v"), dim)
+                yield pa.RecordBatch.from_arrays([part.column("q_id").take(pa.array(rows)), pa.array([r.tobytes() for r in block], pa.binary())],
+                                                 names=["q_id", "row"])
+
+    # What comes to the driver is what was counted, however long the lists of a query are.
+    table = queries.select(F.col("q_id").cast("long").alias("q_id"), "v").mapInArrow(dense, "q_id long, row binary").toArrow()
     if table.num_rows == 0:
         return np.empty(0, dtype=np.int64), np.empty((0, dim))
-    rows, block = matrix(table.column("v"), dim)
-    return table.column("q_id").to_numpy()[rows], block
+    block = np.frombuffer(b"".join(table.column("row").to_pylist()), np.float64).reshape(-1, dim)
+    return table.column("q_id").to_numpy(), block
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, matrix: Callable, dim: int, k: int, metric: str,
