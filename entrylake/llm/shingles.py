@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lean, raw, slices, stored
+from .common import forget, lean, raw, slices, stored
 from .components import components
 from .simhash import first_rows, majority, near_pairs
 from .suffix import _mix
@@ -99,8 +99,10 @@ def _measured(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     sets = stored(classes.select("cls", "members").join(asked, "cls", "left_semi"), "members")
     a, b = (sets.select(F.col("cls").alias(to), F.col("members").alias(f"m_{to}")) for to in "ab")
-    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", F.size("m_a").alias("n_a"), F.size("m_b").alias("n_b"),
+    made = stored(pairs.join(b, "b").join(a, "a").select("a", "b", F.size("m_a").alias("n_a"), F.size("m_b").alias("n_b"),
                                                          F.size(F.array_intersect("m_a", "m_b")).alias("both")), "measured")
+    forget(pairs, sets)
+    return made
 
 
 def _near(measured: DataFrame, least: Fraction) -> DataFrame:
@@ -135,6 +137,7 @@ def by_bands(classes: DataFrame, links: DataFrame, least: Fraction = LEAST, max_
     found = [links, _near(_measured(classes, a.join(b, "band").where((F.col("a") < F.col("b")) & _fitting(least))), least)]
     crowd = shared.where(F.col("n") > max_crowd)
     if crowd.isEmpty():
+        forget(shared)
         return found[1]
     from_pivot = _measured(classes, crowd.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
     found.append(_near(from_pivot, least))
@@ -144,6 +147,7 @@ def by_bands(classes: DataFrame, links: DataFrame, least: Fraction = LEAST, max_
     turn_of = F.floor(F.log2(F.col("o.u") * F.col("n") / F.lit(float(1 << 31)) + 1)).cast("int")
     crowd = stored(crowd.join(known, ["pivot", "cls"], "left").select("band", "cls", "size", "o", F.coalesce("d", F.lit(0.0)).alias("d"),
                                                                      turn_of.alias("turn")), "crowd")
+    forget(shared)
     turns, turn = crowd.agg(F.max("turn")).first()[0], 0
     while turn <= turns:
         joined = components(reduce(DataFrame.unionByName, found)).select(F.col("node").alias("cls"), F.col("root").alias("root"))
@@ -159,7 +163,9 @@ def by_bands(classes: DataFrame, links: DataFrame, least: Fraction = LEAST, max_
             (F.col("r_a") != F.col("r_b")) & ((F.col("t_b") > turn) | (F.col("o_a") < F.col("o_b")))
             & (F.abs(F.col("d_a") - F.col("d_b")) <= apart) & _fitting(least))
         found.append(_near(_measured(classes, pairs), least))
+        forget(left)
         turn += 1
+    forget(crowd)
     return reduce(DataFrame.unionByName, found[1:])
 
 
@@ -179,4 +185,6 @@ def keep_one(docs: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED)
     classes = stored(made.groupBy("cls").agg(F.min(rank).alias("rank"), F.first("fp").alias("fp"), F.first(F.size("members")).alias("size"),
                                                    F.first("bands").alias("bands"), F.first("members").alias("members")), "classes")
     member = components(near_classes(classes, least, max_crowd)).withColumnRenamed("node", "cls")
-    return first_rows(docs, classes.join(member, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rank").alias("first")))
+    ranks = stored(classes.select("cls", "rank"), "ranks")
+    forget(classes)  # with the members of all sets
+    return first_rows(docs, ranks.join(member, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rank").alias("first")))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import lean, raw, slices, stored
+from .common import forget, lean, raw, slices, stored
 
 WIDTH = 400
 GRAM = 128
@@ -296,9 +296,11 @@ def _windows(width: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, coded: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, coded: bool = False,
+                   tables: list[DataFrame] | None = None) -> DataFrame:
     """(doc_id, own, lo, hi): byte spans of repeated windows; they may touch and overlap. ``docs`` has doc_id, text and
-    ``_own``, which together stand for a text; rows that agree in them have their spans once. If ``coded``, bytes are those of the codes of the words."""
+    ``_own``, which together stand for a text; rows that agree in them have their spans once. If ``coded``, bytes are those of the codes of the words.
+    Stored tables that the result reads are put into ``tables``."""
     docs = docs.select("doc_id", "_own", "text")
     found = stored(docs.mapInArrow(
         lean(_scan(width, gram, coded)), "doc_id long, own long, anchor long, region long, lo long, n int, times int"), "regions")
@@ -312,6 +314,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_
              .select("doc_id", "own", "lo", (F.col("lo") + F.col("n") + (width - 1)).alias("hi")))
     within = found.where("times = 0").select("doc_id", "own", "lo", (F.col("lo") + F.col("n") + (width - 1)).alias("hi"))
     spans = whole.unionByName(within)
+    tables = [] if tables is None else tables
+    tables += [found, seen]
     open_ = seen.where("singles > 0 and classes > 1")
     for large in (False, True):
         some = open_.where((F.col("size") > block_bytes) if large else (F.col("size") <= block_bytes))
@@ -330,6 +334,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_
         of_regions = _windows(width)  # in the same worker as ``cut``
         windows = stored(marked.mapInArrow(lean(lambda rows: of_regions(cut(rows))),  # noqa: B023, run before the loop goes on
                                            "window binary, doc_id long, own long, lo long, single boolean"), "windows")
+        tables.append(windows)
         again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
         spans = spans.unionByName(windows.where("single").join(again, "window", "left_semi")
                                   .select("doc_id", "own", "lo", (F.col("lo") + width).alias("hi")))
@@ -426,8 +431,12 @@ def with_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_byte
     if words:
         # One after the other, so that their workers are not there at once. Bytes are read only where runs of words do not settle them.
         run = (words + 1) * CODE
-        by_words = stored(repeated_spans(keyed, run, min(gram, run // 2), block_bytes, coded=True), "word-spans")
-        by_bytes = stored(repeated_spans(stored(_sparse(keyed, width, words), "sparse"), width, gram, block_bytes), "byte-spans")
+        used: list[DataFrame] = []
+        by_words = stored(repeated_spans(keyed, run, min(gram, run // 2), block_bytes, True, used), "word-spans")
+        forget(*used)
+        used = [stored(_sparse(keyed, width, words), "sparse")]
+        by_bytes = stored(repeated_spans(used[0], width, gram, block_bytes, False, used), "byte-spans")
+        forget(*used)
         found = by_bytes.withColumn("coded", F.lit(False)).unionByName(by_words.withColumn("coded", F.lit(True)))
         fields.append("coded")
     else:
