@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas as S
 from ..operators import mutations as M, quality as Q, users as U
 from ..session import work_dir
+from ..sources import keyed as T
 from ..sources.generate import users_for
 from ..sources.tables import evolve, read_snapshot, read_table, write_snapshot
 from .inputs import table, view, with_views
@@ -85,6 +86,14 @@ def _worklist(spark: SparkSession, d: str) -> DataFrame:
     return M.verification_worklist(requests, view(spark, d, "users"))
 
 
+def _upsert_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """The upsert of ``upsert_cache``, which writes the buckets of the changed keys only."""
+    root = work_dir(spark, "keyed")
+    T.keyed_create(view(spark, d, "cache_base"), root, "cache", ["key"], buckets=64)
+    T.keyed_apply(spark, root, "cache", view(spark, d, "cache"), lambda rows, changes, keys: M.upsert(rows, changes, keys, "seq", "op"))
+    return T.keyed_read(spark, root, "cache")
+
+
 QUERIES = {
     "read_table": _read_table,
     "write_snapshot": _write_snapshot,
@@ -124,6 +133,7 @@ QUERIES = {
     "verify_emails": lambda s, d: _verify(s, d).users.select("id", "email_verified_at"),
     "verification_events": lambda s, d: _verify(s, d).events,
     "verification_worklist": _worklist,
+    "upsert_keyed": _upsert_keyed,
     "upsert_cache": lambda s, d: M.upsert(view(s, d, "cache_base"), view(s, d, "cache"), ["key"], "seq", "op"),
 }
 
@@ -263,6 +273,10 @@ from users u left join firsts f on u.id = f.id"""),
     "verification_worklist": with_views("users", """
 select id, email from users where email_verified_at is null
   and id in (select user_id from events where event_type = 'signup')"""),
+    "upsert_keyed": with_views("cache_base cache", """
+select key, value, expiration, seq from (
+  select *, 0 as side, 'put' as op from cache_base union all by name select *, 1 as side from cache)
+qualify row_number() over (partition by key order by seq desc, side desc) = 1 and op <> 'delete'"""),
     "upsert_cache": with_views("cache_base cache", """
 select key, value, expiration, seq from (
   select *, 0 as side, 'put' as op from cache_base union all by name select *, 1 as side from cache)

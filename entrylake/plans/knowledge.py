@@ -9,7 +9,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import compressed as C, entries as E, search as X, upkeep as U
+from ..operators import compressed as C, entries as E, postings as P, search as X, upkeep as U
 from ..session import work_dir
 from ..sources.tables import spread_small
 from .inputs import spread_table, table, view, with_views
@@ -44,6 +44,13 @@ def _search(spark: SparkSession, d: str) -> DataFrame:
     return X.search(view(spark, d, "queries"), _entries(spark, d), 5)
 
 
+def _postings_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The searches of ``text_search``, from posting lists that were stored before."""
+    root = work_dir(spark, "postings")
+    P.postings_build(_entries(spark, d), root)
+    return P.postings_search(view(spark, d, "queries"), P.postings_load(spark, root), 5).hits
+
+
 def _replay(spark: SparkSession, d: str) -> DataFrame:
     return X.search_log(table(spark, d, "conversations"), _entries(spark, d), 3)
 
@@ -189,6 +196,7 @@ QUERIES = {
     "knn_filtered": _filtered,
     "knn_floor": _knn("cosine", 0.3),
     "text_search": _search,
+    "postings_search": _postings_hits,
     "search_with_resources": _hits_with_resources,
     "ivf_search": _ivf,
     "ivf_search_all_cells": _ivf_full,
@@ -289,6 +297,8 @@ select vec_id, case vec_id % 11 when 1 then 'null' when 2 then 'width' when 3 th
   where list_has_any(tags, ['de', 'fr']) and list_contains(tags, 'unrated'))"""),
     "knn_floor": _knn_sql(_COSINE, where="score >= 0.3"),
     "text_search": f"""with {search_ctes('benchmark', 'item_id')}
+select q as q_id, rnk, id, score from hits where rnk <= 5""",
+    "postings_search": f"""with {search_ctes('benchmark', 'item_id')}
 select q as q_id, rnk, id, score from hits where rnk <= 5""",
     "search_with_resources": with_views("markdown", f"""--more {search_ctes('benchmark', 'item_id')},
 res as ({_CODE} union all {_MD_LINKS})
