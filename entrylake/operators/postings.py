@@ -1,6 +1,6 @@
 """Text search over stored posting lists: block maxima bound what a block can score, and blocks out of reach are not read.
 
-The entries are dealt into blocks of about ``block_rows`` entries of similar length. A posting row holds what one bucket has in one block: positions,
+Blocks hold about ``block_rows`` entries of one leading bucket (that of the largest weight) and similar length. A posting row holds what one bucket has in one block: positions,
 weights, and the largest and smallest share of a unit vector; so a frequent bucket is many rows of bounded size. The row of bucket -1
 is the directory of its block: ids and squared lengths. Folders hold ranges of buckets, so a search opens those of its own buckets only.
 """
@@ -22,8 +22,8 @@ from . import topk as K
 from .search import _kept
 
 BLOCK_ROWS = 256
-#: Bands of length that blocks are formed in, at most.
-_BANDS = 256
+#: Bands of length that the entries of one leading bucket are dealt into, at most.
+_BANDS = 16
 #: Buckets in a folder.
 _FOLDER = 16
 #: Queries that meet a block at a time.
@@ -31,7 +31,7 @@ _QUERIES = 2_000
 #: Scores are rounded to six decimals; a bound must fall short by more than that.
 _SLACK = 2e-6
 _DIRECTORY = -1
-_SPARSE = "id long, norm2 long, buckets array<int>, weights array<long>"
+_SPARSE = "id long, norm2 long, lead int, buckets array<int>, weights array<long>"
 _POSTINGS = "bucket int, block long, hi double, lo double, n int, docs array<long>, weights array<long>"
 
 
@@ -57,7 +57,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def _sparse(df: DataFrame, id_col: str, text: str, dim: int) -> DataFrame:
-    """The hashed bag of each text that has one: (id, norm2, buckets, weights). Null texts and texts without tokens are left out."""
+    """The hashed bag of each text that has one: (id, norm2, lead, buckets, weights). Null texts and texts without tokens are left out."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = K.rows_per_matrix(dim)
         for batch in batches:
@@ -69,9 +69,10 @@ def _sparse(df: DataFrame, id_col: str, text: str, dim: int) -> DataFrame:
                 weight = matrix[row, bucket].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(rows)), pa.array(np.square(matrix).sum(1).astype(np.int64)),
+                     pa.array(np.abs(matrix).argmax(1).astype(np.int32)),
                      _lists(np.split(bucket, cuts) if len(rows) else [], pa.int32()),
                      _lists(np.split(weight, cuts) if len(rows) else [], pa.int64())],
-                    names=["id", "norm2", "buckets", "weights"])
+                    names=["id", "norm2", "lead", "buckets", "weights"])
 
     split = df.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text)).alias("v"))
     return split.mapInArrow(kernel, _SPARSE)
@@ -110,20 +111,19 @@ def postings_build(entries: DataFrame, root: str, dim: int = S.EMBEDDING_DIM, id
                    block_rows: int = BLOCK_ROWS) -> int:
     """Write the posting lists of all entries as the next version below ``root``; ids are unique. Returns the version.
 
-    Null texts and texts without tokens are in no list. The block of an entry follows from its length and id alone, so a task that
-    runs again makes the same block.
+    Null texts and texts without tokens are in no list. The block of an entry follows from its own row and the counts, so a task that
+    runs again makes the same block; many entries of one length, such as copies, are dealt into many blocks.
     """
     rows = _kept(_sparse(entries, id_col, text, dim), "sparse")
-    total = rows.count()
-    wanted = min(_BANDS, -(-total // block_rows))
-    cuts = sorted(set(rows.approxQuantile("norm2", [i / wanted for i in range(1, wanted)], 0.2 / wanted))) if wanted > 1 else []
-    band = F.lit(0)
-    for cut in cuts:  # at most _BANDS
-        band = band + (F.col("norm2") > cut).cast("int")
-    banded = rows.withColumn("band", band)
-    sizes = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))  # a row for each band
-    block = F.shiftleft(F.col("band").cast("long"), 40) + F.pmod(F.xxhash64("id"), F.col("blocks"))
-    blocked = banded.join(F.broadcast(sizes), "band").select("id", "norm2", "buckets", "weights", block.alias("block"))
+    shares = F.array(*[F.lit(i / _BANDS) for i in range(1, _BANDS)])
+    leads = rows.groupBy("lead").agg(F.percentile_approx("norm2", shares).alias("cuts"),  # at most dim rows
+                                     F.least(F.lit(_BANDS), F.ceil(F.count(F.lit(1)) / block_rows)).alias("bands"))
+    passed = F.size(F.filter("cuts", lambda c: c < F.col("norm2")))
+    banded = rows.join(F.broadcast(leads), "lead").withColumn("band", F.floor(passed * F.col("bands") / _BANDS))
+    sizes = banded.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))  # at most dim * _BANDS rows
+    block = (F.shiftleft(F.col("lead").cast("long"), 44) + F.shiftleft(F.col("band").cast("long"), 36)
+             + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")
+    blocked = banded.join(F.broadcast(sizes), ["lead", "band"]).select("id", "norm2", "buckets", "weights", block)
     postings = blocked.groupBy("block").applyInArrow(_invert, _POSTINGS)
     folder = F.floor(F.col("bucket") / _FOLDER).cast("int")
     return write_snapshot(postings.withColumn("part", folder), root, "postings", sort_by=["block", "bucket"], partition_by=["part"])
