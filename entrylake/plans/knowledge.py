@@ -9,9 +9,9 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import compressed as C, entries as E, postings as P, search as X, upkeep as U
+from ..operators import bitmaps as B, compressed as C, entries as E, postings as P, search as X, upkeep as U
 from ..session import work_dir
-from ..sources.tables import spread_small
+from ..sources.tables import read_snapshot, spread_small, write_snapshot
 from .inputs import spread_table, table, view, with_views
 
 _DIM = 64
@@ -162,6 +162,23 @@ def _filter(spark: SparkSession, d: str) -> DataFrame:
     return E.filter_entries(view(spark, d, "entries"), "src1", ["de", "es", "fr"], ["unrated"]).select("id")
 
 
+def _bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    root = work_dir(spark, "bitmaps")
+    write_snapshot(B.bitmap_build(view(spark, d, "entries")), root, "tags", sort_by=["facet", "value", "bucket"])
+    return read_snapshot(spark, root, "tags")
+
+
+def _bitmap_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The filter of ``filter_entries``, from stored bitmaps."""
+    return B.bitmap_ids(B.bitmap_filter(_bitmaps(spark, d), "src1", ["de", "es", "fr"], ["unrated"]))
+
+
+def _bitmap_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Categories and tags of the entries that have one of two languages and no rating."""
+    index = _bitmaps(spark, d)
+    return B.bitmap_facets(index, B.bitmap_filter(index, None, ["de", "fr"], ["unrated"]))
+
+
 def _bridge_back(spark: SparkSession, d: str) -> DataFrame:
     tags = E.bridge_to_tags(E.tags_to_bridge(view(spark, d, "entries")))
     return tags.select("entry_id", F.concat_ws(",", "tags").alias("tags"))
@@ -179,6 +196,8 @@ QUERIES = {
     "apply_entry_changes": _changed,
     "get_entries": _read,
     "filter_entries": _filter,
+    "bitmap_filter": _bitmap_filter,
+    "bitmap_facets": _bitmap_facets,
     "facet_counts": lambda s, d: E.facet_counts(view(s, d, "entries")),
     "tags_to_bridge": lambda s, d: E.tags_to_bridge(view(s, d, "entries")),
     "bridge_to_tags": _bridge_back,
@@ -269,6 +288,13 @@ select id, category, n_chars from entries where id in (select id from wanted)"""
     "filter_entries": with_views("entries", """
 select id from entries where category = 'src1' and list_has_any(tags, ['de', 'es', 'fr'])
   and list_contains(tags, 'unrated')"""),
+    "bitmap_filter": with_views("entries", """
+select id from entries where category = 'src1' and list_has_any(tags, ['de', 'es', 'fr'])
+  and list_contains(tags, 'unrated')"""),
+    "bitmap_facets": with_views("entries", """--more
+kept as (select * from entries where list_has_any(tags, ['de', 'fr']) and list_contains(tags, 'unrated'))
+select 'category' as facet, category as value, count(*) as entries from kept group by category
+union all select 'tag', tag, count(*) from (select unnest(list_distinct(tags)) as tag from kept) group by tag"""),
     "facet_counts": with_views("entries", """
 select 'category' as facet, category as value, count(*) as entries from entries group by category
 union all select 'tag', tag, count(*) from (select unnest(list_distinct(tags)) as tag from entries) group by tag"""),
