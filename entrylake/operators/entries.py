@@ -85,6 +85,36 @@ def facet_counts(entries: DataFrame) -> DataFrame:
             .groupBy("facet", "value").agg(F.count(F.lit(1)).alias("entries")))
 
 
+def parse_metadata(raw: DataFrame, text: str = "metadata") -> DataFrame:
+    """Metadata given as a JSON object becomes a map of strings; null and malformed texts become null, numbers their text."""
+    return raw.withColumn(text, F.from_json(text, "map<string,string>"))
+
+
+def filter_metadata(entries: DataFrame, equals: dict[str, str] | None = None, has: list[str] | None = None,
+                    lacks: list[str] | None = None) -> DataFrame:
+    """Entries whose metadata has each value of ``equals`` and each key of ``has``, and none of the keys of ``lacks``.
+
+    A key with a null value is there; an entry without metadata lacks every key.
+    """
+    there = F.coalesce(F.map_keys("metadata"), F.array().cast("array<string>"))
+    for key, value in (equals or {}).items():
+        entries = entries.where(F.try_element_at("metadata", F.lit(key)) == value)
+    for key in has or []:
+        entries = entries.where(F.array_contains(there, key))
+    for key in lacks or []:
+        entries = entries.where(~F.array_contains(there, key))
+    return entries
+
+
+def metadata_facets(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Entries per metadata key and value (key, value, entries), of some keys or of all; null values count too."""
+    pairs = F.map_entries("metadata")
+    if keys is not None:
+        pairs = F.filter(pairs, lambda p: p["key"].isin(keys))
+    return (entries.select(F.explode(F.array_distinct(pairs)).alias("_p")).groupBy("_p.key", "_p.value")
+            .agg(F.count(F.lit(1)).alias("entries")))
+
+
 def tags_to_bridge(entries: DataFrame) -> DataFrame:
     """One row per entry and tag."""
     return entries.select(F.col("id").alias("entry_id"),

@@ -10,8 +10,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .. import schemas as S
 from ..functions.text import token_code, tokens
@@ -43,6 +44,28 @@ def embed(entries: DataFrame, fn: Callable[[list[str]], np.ndarray], dim: int =
     return texts.mapInPandas(kernel, S.ENTRY_EMBEDDINGS)
 
 
+def embed_model(entries: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int = S.EMBEDDING_DIM,
+                id_col: str = "id", text: str = "body", model: str = "custom", batch: int = 256) -> DataFrame:
+    """``embed`` for a model that is costly to load: ``load()`` returns the function, and runs once in each Python worker.
+
+    The model is kept by the worker for the tasks that follow and does not travel with them; what ``load`` refers to must be reachable
+    from the executors. Null texts count as empty.
+    """
+    def make():
+        fn = load()
+
+        def predict(part: np.ndarray) -> np.ndarray:
+            vectors = np.asarray(fn(part.tolist()), dtype=np.float32)
+            if vectors.shape != (len(part), dim):
+                raise ValueError(f"model returned {vectors.shape}, not {(len(part), dim)}")
+            return vectors
+        return predict
+
+    vector = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch)
+    return entries.select(F.col(id_col).cast("long").alias("entry_id"), F.lit(model).alias("model"), F.lit(dim).alias("dim"),
+                          vector(F.coalesce(F.col(text), F.lit(""))).alias("embedding"))
+
+
 def hash_embed(entries: DataFrame, dim: int = S.EMBEDDING_DIM, id_col: str = "id",
                text: str = "body") -> DataFrame:
     """Signed feature hashing of the tokens, sparse: (id, bucket, weight), no zero weights.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
-from ..operators import mutations as M, quality as Q, users as U
+from ..operators import digests as G, mutations as M, quality as Q, users as U
 from ..session import work_dir
 from ..sources import keyed as T
 from ..sources.generate import users_for
@@ -86,6 +86,13 @@ def _worklist(spark: SparkSession, d: str) -> DataFrame:
     return M.verification_worklist(requests, view(spark, d, "users"))
 
 
+def _screen_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The screen of ``screen_breached``, from stored digests behind a filter."""
+    root = work_dir(spark, "digests")
+    G.digests_save(view(spark, d, "digests"), root, "breached")
+    return G.screen_breached_stored(view(spark, d, "registrations"), root, "breached").select("seq", "email")
+
+
 def _upsert_keyed(spark: SparkSession, d: str) -> DataFrame:
     """The upsert of ``upsert_cache``, which writes the buckets of the changed keys only."""
     root = work_dir(spark, "keyed")
@@ -124,6 +131,7 @@ QUERIES = {
     .select("seq", "violations"),
     "screen_breached": lambda s, d: Q.screen_breached(view(s, d, "registrations"), view(s, d, "digests"))
     .select("seq", "email"),
+    "screen_breached_stored": _screen_stored,
     "register_users": lambda s, d: _register(s, d).users,
     "register_rejects": lambda s, d: _register(s, d).rejects,
     "update_profiles": lambda s, d: M.update_profiles(view(s, d, "users"), view(s, d, "profile_changes"), _now()),
@@ -247,6 +255,8 @@ select seq, concat_ws(',', case when length(password) < 12 then 'password.min' e
   case when not regexp_matches(password, '[\p{Z}\p{S}\p{P}]') then 'password.symbols' end) as violations
 from registrations"""),
     "screen_breached": with_views("registrations digests", """
+select seq, email from registrations where sha1(password) in (select digest from digests)"""),
+    "screen_breached_stored": with_views("registrations digests", """
 select seq, email from registrations where sha1(password) in (select digest from digests)"""),
     "register_users": with_views("users registrations", _JUDGED + f"""
 select * from users union all

@@ -109,6 +109,11 @@ select d.doc_id as id, d.text as body, d.source as category,
   split(d.lang || ',' || case when l.quality = 1 then 'good' when l.quality = 0 then 'poor' else 'unrated' end,
         ',') as tags, d.n_chars
 from {documents} d left join {labels} l on d.doc_id = l.doc_id""",
+    "described_entries": """
+select doc_id as id, case when doc_id % 13 = 5 then null when doc_id % 17 = 4 then 'no json'
+  else chr(123) || '"lang": "' || lang || '", ' || case when doc_id % 3 = 0 then '"reviewed": null, ' else '' end
+       || '"thousands": ' || cast((n_chars - n_chars % 1000) / 1000 as int) || ', "source": "' || source || '"' || chr(125) end as metadata
+from {documents}""",
     "raw_entries": """
 select doc_id as id, case when doc_id % 17 = 3 then ' ' else text end as body, source as category,
   split(upper(lang) || ',' || source || ', ' || lang || ' ,', ',') as tags

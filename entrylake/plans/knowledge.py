@@ -133,6 +133,20 @@ def _embedded(spark: SparkSession, d: str) -> DataFrame:
         "embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double")).alias("words"))
 
 
+def _load_bag():
+    return bag_of_words
+
+
+def _embedded_model(spark: SparkSession, d: str) -> DataFrame:
+    made = X.embed_model(_entries(spark, d), _load_bag, dim=32)
+    return made.select("entry_id", "dim", F.aggregate(
+        "embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double")).alias("words"))
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    return E.parse_metadata(view(spark, d, "described_entries"))
+
+
 def _checked_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors with faults put in: null, narrow, not a number, all zero."""
     v, key = F.col("embedding"), F.col("vec_id")
@@ -198,6 +212,9 @@ QUERIES = {
     "filter_entries": _filter,
     "bitmap_filter": _bitmap_filter,
     "bitmap_facets": _bitmap_facets,
+    "filter_metadata": lambda s, d: E.filter_metadata(
+        _described(s, d), {"lang": "de", "thousands": "0"}, ["source"], ["reviewed"]).select("id"),
+    "metadata_facets": lambda s, d: E.metadata_facets(_described(s, d)),
     "facet_counts": lambda s, d: E.facet_counts(view(s, d, "entries")),
     "tags_to_bridge": lambda s, d: E.tags_to_bridge(view(s, d, "entries")),
     "bridge_to_tags": _bridge_back,
@@ -206,6 +223,7 @@ QUERIES = {
     "extract_markdown_links": lambda s, d: E.extract_links(
         spread_small(view(s, d, "markdown")), "id", "body", "markdown"),
     "embed": _embedded,
+    "embed_model": _embedded_model,
     "hash_embed": lambda s, d: X.hash_embed(_entries(s, d)),
     "stale_entries": _stale,
     "check_vectors": _checked_vectors,
@@ -273,6 +291,9 @@ _MD_LINKS = f"""select id as entry_id, (i - 1)::int as pos, 'link' as kind, null
 _RAW_TAGS = """array_to_string(list_sort(list_distinct(
   [lower(trim(t)) for t in tags if trim(t) <> ''])), ',')"""
 
+_WORDS = """
+select doc_id as entry_id, 32 as dim, len(regexp_extract_all(text, '[a-z]+'))::double as words from documents"""
+
 SQL = {
     "ingest_entries": with_views("raw_entries", f"""
 select id, category, {_RAW_TAGS} as tags, sha256(body) as content_hash from raw_entries
@@ -295,6 +316,14 @@ select id from entries where category = 'src1' and list_has_any(tags, ['de', 'es
 kept as (select * from entries where list_has_any(tags, ['de', 'fr']) and list_contains(tags, 'unrated'))
 select 'category' as facet, category as value, count(*) as entries from kept group by category
 union all select 'tag', tag, count(*) from (select unnest(list_distinct(tags)) as tag from kept) group by tag"""),
+    "filter_metadata": with_views("described_entries", """--more
+typed as (select id, case when json_valid(metadata) then metadata::json end as m from described_entries)
+select id from typed where m->>'$.lang' = 'de' and m->>'$.thousands' = '0' and list_contains(json_keys(m), 'source')
+  and not list_contains(json_keys(m), 'reviewed')"""),
+    "metadata_facets": with_views("described_entries", """--more
+typed as (select id, case when json_valid(metadata) then metadata::json end as m from described_entries)
+select key, m->>('$.' || key) as value, count(*) as entries from (select m, unnest(json_keys(m)) as key from typed)
+group by all"""),
     "facet_counts": with_views("entries", """
 select 'category' as facet, category as value, count(*) as entries from entries group by category
 union all select 'tag', tag, count(*) from (select unnest(list_distinct(tags)) as tag from entries) group by tag"""),
@@ -307,8 +336,8 @@ select page_id as entry_id, (i - 1)::int as pos, 'link' as kind, null::varchar a
   select page_id, unnest(range(1, len(links) + 1)) as i, links from (
     select page_id, regexp_extract_all(html, {_HREF}, 1) as links from pages))""",
     "extract_markdown_links": with_views("markdown", _MD_LINKS),
-    "embed": """
-select doc_id as entry_id, 32 as dim, len(regexp_extract_all(text, '[a-z]+'))::double as words from documents""",
+    "embed": _WORDS,
+    "embed_model": _WORDS,
     "hash_embed": f"select key as id, bucket, weight from ({_weights('documents', 'doc_id', 'text')})",
     "stale_entries": with_views("embedded", """
 select doc_id as id, sha256(text) as content_hash from documents d where not exists (
