@@ -2,8 +2,8 @@
 
 A unit vector is its cell's centre plus a rest. The rest is cut into parts, and each part is replaced by the nearest entry of that part's codebook: one
 byte each. The inner product of a query with such a vector is a sum of table entries. The length of what the codes lose is
-kept with each row; it bounds the error of every product, so entries that cannot be among the best k are left out without reading their vectors, and the others are
-scored exactly. The result is that of a scan over the vectors themselves.
+kept with each row; it bounds the error of every product, so entries that cannot be among the best k are left out without scoring their vectors, and the others are
+scored exactly where they lie. The result is that of a scan over the vectors themselves.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ CODES = 256
 #: Bytes of vectors that the codebooks are learnt from, at most (about).
 TRAIN_BYTES = 64 * 2**20
 _ROUNDS = 12
-#: Table entries that a block of queries may have (float32).
+#: Table entries that a block of queries may have (float32), if only so many of each are scored.
 _TABLES = 64 * 2**20
-_SLACK = 2e-6  # scores are rounded to six decimals
 _CODED = "id long, cell long, code binary, lost float"
+_SIEVED = "q_id long, id long, score double, n long"
 
 
 @dataclass
@@ -140,14 +140,15 @@ def pq_search(queries: DataFrame, index: PqIndex, k: int, nprobe: int, survivors
               max_bytes: int = K.BROADCAST_BYTES) -> ProbedHits:
     """Top-k by cosine among the entries of the ``nprobe`` nearest cells, as ``ivf_search`` gives them, from codes.
 
-    Entries whose highest possible score is below the k-th lowest possible one are left out, so the result equals that of
+    Entries whose highest possible score is below the k-th best found so far are left out, so the result equals that of
     the vectors. With ``survivors`` only so many of each query, by their estimated scores, are scored exactly: the result is approximate then.
     ``effort`` has, per query, rows_read (codes), survivors, and bytes_read against those of the same scan over vectors (plain_bytes). Queries are searched in
-    blocks that fit ``max_bytes`` and their tables.
+    blocks that fit ``max_bytes``, with ``survivors`` also their tables.
     """
     parts, dim = len(index.books), index.cells.centres.shape[1]
     queries = queries.select(F.col("q_id").cast("long").alias("q_id"), "v")
-    per_block = max(1, min(max_bytes // (8 * dim), _TABLES // (4 * parts * CODES)))
+    per_block = max_bytes // (8 * dim) if survivors is None else min(max_bytes // (8 * dim), _TABLES // (4 * parts * CODES))
+    per_block = max(1, per_block)
     blocks = max(1, -(-queries.count() // per_block))
     hits, effort = [], []
     for b in range(blocks):
@@ -167,23 +168,76 @@ def pq_search(queries: DataFrame, index: PqIndex, k: int, nprobe: int, survivors
 def _search(packed: tuple[np.ndarray, np.ndarray], index: PqIndex, k: int, nprobe: int, survivors: int | None, skip_self: bool) -> ProbedHits:
     q_ids, vectors = packed
     parts, _, wide = index.books.shape
-    unit_q, unit_c = _units(vectors), _units(index.cells.centres)
     probes = _Cells(index.cells.centres, nprobe)(vectors) if len(q_ids) else np.zeros((0, 1), np.int64)
-    tables = np.stack([unit_q[:, p * wide:(p + 1) * wide] @ index.books[p].T for p in range(parts)], axis=1).astype(np.float32)
-    to_centre = unit_q @ unit_c.T
     spark = index.codes.sparkSession
-    shared = spark.sparkContext.broadcast((q_ids, tables, to_centre, _Router(probes, None)))
-    # Sums of float32 products may be off by this much.
-    slack = _SLACK + 4e-7 * (parts + 2)
+    wanted = np.unique(probes).tolist()
+    read = index.codes.where(F.col("cell").isin(wanted))
+    rows = index.cells.rows.select("id", "v", "cell").where(F.col("cell").isin(wanted))
+    if survivors is None:
+        shared = spark.sparkContext.broadcast((packed, index.books, _units(index.cells.centres), _Router(probes, None)))
+        # Codes and vectors lie side by side: nothing but the best k of a task leaves it, however little the codes rule out.
+        many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        both = rows.repartition(many, "id", "cell").join(read.repartition(many, "id", "cell"), ["id", "cell"])
+        made = _kept(both.select("id", "v", "cell", "code", "lost").mapInArrow(_sieve(shared, k, skip_self), _SIEVED), "sieved")
+        hits = _kept(K.rank_hits(made.where("id is not null").select("q_id", "id", "score"), k), "hits")
+        per_query = made.where("id is null").groupBy("q_id").agg(F.sum("n").alias("survivors"))
+    else:
+        left = _estimated(packed, index, read, _Router(probes, None), survivors, skip_self)
+        hits = _kept(K.rank_hits(_rescored(packed, rows.join(left, ["id", "cell"])), k), "hits")
+        per_query = left.groupBy("q_id").agg(F.count(F.lit(1)).alias("survivors"))
+    size = {r["cell"]: r["count"] for r in read.groupBy("cell").count().collect()}  # as many as there are centres at most
+    counted = spark.createDataFrame([(int(i), int(sum(size.get(c, 0) for c in row))) for i, row in zip(q_ids, probes.tolist())],
+                                    "q_id long, rows_read long")
+    dim = index.cells.centres.shape[1]
+    effort = counted.join(per_query, "q_id", "left").withColumn("survivors", F.coalesce("survivors", F.lit(0))).withColumns({
+        "bytes_read": F.col("rows_read") * (parts + 4) + F.col("survivors") * 4 * dim, "plain_bytes": F.col("rows_read") * 4 * dim})
+    return ProbedHits(hits, effort)
+
+
+def _sieve(shared, k: int, skip_self: bool):
+    """Scores the entries that the codes do not rule out; the bars are those of exact scores, so they rise as a task goes on."""
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (q_ids, given), books, unit, route = shared.value
+        parts, _, wide = books.shape
+        best = K.Best(q_ids, given, k, "cosine", skip_self, False, None)
+        # Codes decode to vectors somewhat longer than one.
+        best.repeats, best.error = True, 3 * best.error
+        step = K.rows_per_matrix(unit.shape[1])
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                rows, block = K.list_matrix(part.column("v"), unit.shape[1])
+                if not len(rows):
+                    continue
+                code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, parts)[rows]
+                near = unit[part.column("cell").to_numpy()[rows]] + np.concatenate([books[p][code[:, p]] for p in range(parts)], axis=1)
+                lost, ids = part.column("lost").to_numpy()[rows], part.column("id").to_numpy()[rows]
+                for entries, asked in route(part, rows, block):
+                    best.add(ids[entries], block[entries], asked, (near[entries], lost[entries]))
+        for made in best.batches():
+            yield pa.RecordBatch.from_arrays([*made.columns, pa.nulls(made.num_rows, pa.int64())], names=["q_id", "id", "score", "n"])
+        some = np.flatnonzero(best.scored)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64()),
+                                          pa.array(best.scored[some])], names=["q_id", "id", "score", "n"])
+
+    return kernel
+
+
+def _estimated(packed: tuple[np.ndarray, np.ndarray], index: PqIndex, read: DataFrame, router: _Router, survivors: int, skip_self: bool) -> DataFrame:
+    """Of each query the ``survivors`` entries with the highest estimates: (q_id, id, cell)."""
+    q_ids, vectors = packed
+    parts, _, wide = index.books.shape
+    unit_q, unit_c = _units(vectors), _units(index.cells.centres)
+    tables = np.stack([unit_q[:, p * wide:(p + 1) * wide] @ index.books[p].T for p in range(parts)], axis=1).astype(np.float32)
+    shared = index.codes.sparkSession.sparkContext.broadcast((q_ids, tables, unit_q @ unit_c.T, router))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, table, near, route = shared.value
         bar = np.full(len(ids_of), -np.inf)
-        out: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             ids, cell = batch.column("id").to_numpy(), batch.column("cell").to_numpy()
             code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, parts)
-            lost = batch.column("lost").to_numpy().astype(np.float64)
             for entries, asked in route(batch, np.arange(len(ids)), None):
                 step = max(1, 4_000_000 // max(1, len(asked)))
                 for a in range(0, len(entries), step):
@@ -191,37 +245,39 @@ def _search(packed: tuple[np.ndarray, np.ndarray], index: PqIndex, k: int, nprob
                     score = np.repeat(near[asked, cell[some[0]]][:, None], len(some), axis=1)
                     for p in range(parts):
                         score += table[asked, p][:, code[some, p]]
-                    low, high = score - lost[some] - slack, score + lost[some] + slack
                     if skip_self:
-                        own = ids_of[asked][:, None] == ids[some][None, :]
-                        low[own] = high[own] = score[own] = -np.inf
-                    if survivors is not None:
-                        low = high = score
-                    want = k if survivors is None else survivors
-                    if len(some) >= want:
-                        bar[asked] = np.maximum(bar[asked], np.partition(low, -want, axis=1)[:, -want])
-                    q, r = np.nonzero((high >= bar[asked][:, None]) & (high > -np.inf))
-                    out.append((asked[q], ids[some[r]], low[q, r], high[q, r], cell[some[r]]))
-        if out:
-            q, found, low, high, cells = (np.concatenate(c) for c in zip(*out))
-            good = high >= bar[q]
-            for a in range(0, int(good.sum()), 100_000):
-                pick = np.flatnonzero(good)[a:a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(ids_of[q[pick]]), pa.array(found[pick]), pa.array(low[pick]), pa.array(high[pick]),
-                                                  pa.array(cells[pick])], names=["q_id", "id", "low", "high", "cell"])
-
-    wanted = np.unique(probes).tolist()
-    read = index.codes.where(F.col("cell").isin(wanted))
-    able = _kept(read.mapInArrow(scan, "q_id long, id long, low double, high double, cell long"), "able")
+                        score[ids_of[asked][:, None] == ids[some][None, :]] = -np.inf
+                    if len(some) >= survivors:
+                        bar[asked] = np.maximum(bar[asked], np.partition(score, -survivors, axis=1)[:, -survivors])
+                    q, r = np.nonzero((score >= bar[asked][:, None]) & (score > -np.inf))
+                    held.append((asked[q], ids[some[r]], score[q, r], cell[some[r]]))
+                    if sum(len(h[0]) for h in held) > 1_000_000:
+                        held = [_highest(held, survivors)]
+        if held:
+            q, found, low, cells = _highest(held, survivors)
+            for a in range(0, len(q), 100_000):
+                some = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids_of[q[some]]), pa.array(found[some]), pa.array(low[some]), pa.array(cells[some])],
+                                                 names=["q_id", "id", "low", "cell"])
+
+    able = _kept(read.mapInArrow(scan, "q_id long, id long, low double, cell long"), "able")
     by_low = Window.partitionBy("q_id").orderBy(F.desc("low"), "id")
-    if survivors is None:
-        bars = able.withColumn("n", F.row_number().over(by_low)).where(F.col("n") == k).select("q_id", F.col("low").alias("bar"))
-        left = able.join(bars, "q_id", "left").where(F.col("high") >= F.coalesce("bar", F.lit(float("-inf"))))
-    else:
-        left = able.withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= survivors)
-    left = _kept(left.select("q_id", "id", "cell"), "survivors")
-    exact = index.cells.rows.select(F.col("id"), "v", "cell").where(F.col("cell").isin(wanted)).join(left, ["id", "cell"])
-    vectors_of = spark.sparkContext.broadcast(packed)
+    left = able.withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= survivors)
+    return _kept(left.select("q_id", "id", "cell"), "survivors")
+
+
+def _highest(held: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, ...]:
+    """The n highest of each query, ties by smaller id."""
+    q, ids, score, cells = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((ids, -score, q))
+    q = q[order]
+    order = order[np.arange(len(q)) - np.searchsorted(q, q) < n]
+    return tuple(np.concatenate(c)[order] for c in zip(*held))
+
+
+def _rescored(packed: tuple[np.ndarray, np.ndarray], pairs: DataFrame) -> DataFrame:
+    """Exact scores of pairs (q_id, id, v)."""
+    vectors_of = pairs.sparkSession.sparkContext.broadcast(packed)
 
     def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, given = vectors_of.value
@@ -234,12 +290,4 @@ def _search(packed: tuple[np.ndarray, np.ndarray], index: PqIndex, k: int, nprob
             yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(batch.column("id").to_numpy()[rows]), pa.array(K._round(score))],
                                              names=["q_id", "id", "score"])
 
-    hits = _kept(K.rank_hits(exact.select("q_id", "id", "v").mapInArrow(rescore, K.RESULT), k), "hits")
-    size = {r["cell"]: r["count"] for r in read.groupBy("cell").count().collect()}  # as many as there are centres at most
-    counted = spark.createDataFrame([(int(i), int(sum(size.get(c, 0) for c in row))) for i, row in zip(q_ids, probes.tolist())],
-                                    "q_id long, rows_read long")
-    per_query = left.groupBy("q_id").agg(F.count(F.lit(1)).alias("survivors"))
-    dim = index.cells.centres.shape[1]
-    effort = counted.join(per_query, "q_id", "left").withColumn("survivors", F.coalesce("survivors", F.lit(0))).withColumns({
-        "bytes_read": F.col("rows_read") * (parts + 4) + F.col("survivors") * 4 * dim, "plain_bytes": F.col("rows_read") * 4 * dim})
-    return ProbedHits(hits, effort)
+    return pairs.select("q_id", "id", "v").mapInArrow(rescore, K.RESULT)

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from entrylake.operators import search as X, topk as K
+from entrylake.operators import compressed as C, search as X, topk as K
 
 
 def test_scoring_takes_the_memory_of_a_tile():
@@ -44,3 +44,21 @@ def test_blocks_of_the_grid_are_not_merged_into_few_tasks(spark):
     rows = spark.range(300).select(F.col("id"), F.array([F.sin(F.col("id") + i) for i in range(4)]).alias("v"), F.lit(0).alias("cell"))
     hits = K.grid(rows.withColumnRenamed("id", "q_id"), rows, K.list_matrix, 4, 2, "cosine", 30, skip_self=True, overlap=False, floor=None)
     assert hits.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_codes_that_rule_out_little_write_little(spark, monkeypatch):
+    written, kept = {}, C._kept
+
+    def counted(df, purpose):
+        made = kept(df, purpose)
+        written[purpose] = made.count()
+        return made
+
+    monkeypatch.setattr(C, "_kept", counted)
+    noise = np.random.default_rng(5).normal(size=(1500, 16))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(noise)], "id long, v array<double>")
+    asked = corpus.where("id % 75 = 0").withColumnRenamed("id", "q_id")
+    found = C.pq_search(asked, C.pq_build(X.ivf_build(corpus, 16, cells=2), parts=1), 2, nprobe=2, skip_self=True).hits
+    want = X.knn(asked, corpus, 2, 16, skip_self=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert max(written.values()) < 20 * 1500 / 10
