@@ -25,6 +25,7 @@ TRAIN_BYTES = 64 * 2**20
 _ROUNDS = 12
 #: Table entries that a block of queries may have (float32), if only so many of each are scored.
 _TABLES = 64 * 2**20
+_SLACK = 2e-6  # scores are rounded to six decimals
 _CODED = "id long, cell long, code binary, lost float"
 _SIEVED = "q_id long, id long, score double, n long"
 
@@ -174,7 +175,15 @@ def _search(packed: tuple[np.ndarray, np.ndarray], index: PqIndex, k: int, nprob
     read = index.codes.where(F.col("cell").isin(wanted))
     rows = index.cells.rows.select("id", "v", "cell").where(F.col("cell").isin(wanted))
     if survivors is None:
-        shared = spark.sparkContext.broadcast((packed, index.books, _units(index.cells.centres), _Router(probes, None)))
+        given = (packed, index.books, _units(index.cells.centres), _Router(probes, None))
+        by_low = Window.partitionBy("q_id").orderBy(F.desc("low"))
+        lows = read.mapInArrow(_lowest(spark.sparkContext.broadcast(given), k, skip_self), "q_id long, low double")
+        kth = lows.withColumn("n", F.row_number().over(by_low)).where(F.col("n") == k).select("q_id", "low").toArrow()  # one for each query
+        named, low = kth.column("q_id").to_numpy(), kth.column("low").to_numpy()
+        order = np.argsort(named)
+        at = np.minimum(np.searchsorted(named[order], q_ids), max(0, len(named) - 1))
+        bars = np.where(named[order][at] == q_ids, low[order][at], -np.inf) if len(named) else np.full(len(q_ids), -np.inf)
+        shared = spark.sparkContext.broadcast((*given, bars))
         # Codes and vectors lie side by side: nothing but the best k of a task leaves it, however little the codes rule out.
         many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
         both = rows.repartition(many, "id", "cell").join(read.repartition(many, "id", "cell"), ["id", "cell"])
@@ -194,12 +203,35 @@ def _search(packed: tuple[np.ndarray, np.ndarray], index: PqIndex, k: int, nprob
     return ProbedHits(hits, effort)
 
 
-def _sieve(shared, k: int, skip_self: bool):
-    """Scores the entries that the codes do not rule out; the bars are those of exact scores, so they rise as a task goes on."""
+def _decoded(part: pa.RecordBatch, books: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for, near those of unit length."""
+    code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, len(books))
+    return unit[part.column("cell").to_numpy()] + np.concatenate([book[code[:, p]] for p, book in enumerate(books)], axis=1)
+
+
+def _lowest(shared, k: int, skip_self: bool):
+    """Of each query, k scores that so many entries of the task reach at least, from codes alone."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (q_ids, given), books, unit, route = shared.value
-        parts, _, wide = books.shape
         best = K.Best(q_ids, given, k, "cosine", skip_self, False, None)
+        lows = np.full((len(q_ids), k), -np.inf, np.float32)
+        for batch in batches:
+            ids, near = batch.column("id").to_numpy(), _decoded(batch, books, unit)
+            lost = batch.column("lost").to_numpy() + 3 * best.error + _SLACK
+            for entries, asked in route(batch, np.arange(len(ids)), None):
+                best.lows(ids[entries], near[entries], lost[entries], asked, lows)
+        for a in range(0, len(q_ids), 100_000):
+            q, place = np.nonzero(lows[a:a + 100_000] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + q]), pa.array(lows[a + q, place].astype(np.float64))], names=["q_id", "low"])
+
+    return kernel
+
+
+def _sieve(shared, k: int, skip_self: bool):
+    """Scores the entries that the codes do not rule out; the bars are those of exact scores, so they rise as a task goes on."""
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (q_ids, given), books, unit, route, bars = shared.value
+        best = K.Best(q_ids, given, k, "cosine", skip_self, False, bars)
         # Codes decode to vectors somewhat longer than one.
         best.repeats, best.error = True, 3 * best.error
         step = K.rows_per_matrix(unit.shape[1])
@@ -209,8 +241,7 @@ def _sieve(shared, k: int, skip_self: bool):
                 rows, block = K.list_matrix(part.column("v"), unit.shape[1])
                 if not len(rows):
                     continue
-                code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, parts)[rows]
-                near = unit[part.column("cell").to_numpy()[rows]] + np.concatenate([books[p][code[:, p]] for p in range(parts)], axis=1)
+                near = _decoded(part, books, unit)[rows]
                 lost, ids = part.column("lost").to_numpy()[rows], part.column("id").to_numpy()[rows]
                 for entries, asked in route(part, rows, block):
                     best.add(ids[entries], block[entries], asked, (near[entries], lost[entries]))

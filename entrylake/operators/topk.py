@@ -186,7 +186,7 @@ class Best:
     """
 
     def __init__(self, q_ids: np.ndarray, queries: np.ndarray | Dense | Coded, k: int, metric: str,
-                 skip_self: bool, overlap: bool, floor: float | None):
+                 skip_self: bool, overlap: bool, floor: float | np.ndarray | None):
         self.q_ids, self.k, self.metric = q_ids, k, metric
         self.queries = Dense(queries) if isinstance(queries, np.ndarray) else queries
         self.skip_self, self.overlap, self.floor = skip_self, overlap, floor
@@ -227,6 +227,27 @@ class Best:
                 which = slice(b, min(b + high, asked)) if only is None else only[b:b + high]
                 self._add(ids[some], block[some], length[some], tile, off, own, which)
 
+    def lows(self, ids: np.ndarray, guess: np.ndarray, off: np.ndarray, asked: np.ndarray, held: np.ndarray) -> None:
+        """Raise the k scores ``held`` of each query to ones that entries near ``guess``, by ``off`` at most, reach surely."""
+        wide = max(64, 8 * self.k)
+        for a in range(0, len(ids), _TILE):
+            some = slice(a, a + _TILE)
+            tile, own = np.column_stack([guess[some], -off[some]]).astype(np.float32), self._own(ids[some]) if self.skip_self else None
+            high = max(_TILE, _CELLS_IN_TILE // len(tile))
+            for b in range(0, len(asked), high):
+                which = asked[b:b + high]
+                near = self.queries.near(which, self.scale, 1.0, tile)
+                if own is not None:
+                    back = np.full(len(self.q_ids), -1)
+                    back[which] = np.arange(len(which))
+                    there = back[own[0]]
+                    near[there[there >= 0], own[1][there >= 0]] = -np.inf
+                if near.shape[1] >= 2 * wide:
+                    fold = near.shape[1] // wide
+                    near = near[:, :fold * wide].reshape(len(near), fold, wide).max(axis=1)
+                near = np.concatenate([held[which], near], axis=1)
+                held[which] = np.partition(near, -self.k, axis=1)[:, -self.k:]
+
     def _needed(self, ids: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Positions without entries that are equal to k + 1 others of smaller id: they are among the best of no query."""
         order = np.argsort(ids, kind="stable")
@@ -260,7 +281,7 @@ class Best:
 
     def _bar(self, which) -> np.ndarray:
         worst = self.score[which, -1]
-        return worst if self.floor is None else np.maximum(worst, self.floor)
+        return worst if self.floor is None else np.maximum(worst, self.floor[which] if np.ndim(self.floor) else self.floor)
 
     def _least(self, which, bar: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
         """Single-precision products that can belong to scores of at least ``bar``, and how far two such products of like scores can lie apart."""
