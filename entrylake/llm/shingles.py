@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import forget, lean, raw, slices, stored
 from .components import components
-from .simhash import first_rows, majority, near_pairs
+from .simhash import first_rows, majority, near_pairs, row_key
 from .suffix import _mix
 
 WIDTH = 5
@@ -70,39 +70,50 @@ def bands(made: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id and _own of every row of ``docs`` (doc_id, _own, text), ``cls`` (a hash of the set), its fingerprint ``fp``, its ``bands`` and the
-    ``members`` of the set."""
+def printed(docs: DataFrame) -> DataFrame:
+    """doc_id and _own of every row of ``docs`` (doc_id, _own, text), ``cls`` (a hash of its set of shingles), the set's ``size``, its fingerprint
+    ``fp`` and its ``bands``. The sets themselves are several times as large; ``_sets`` makes those that are compared."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in stream for part in slices(whole, _SLICE, 2)):
-            sets: list[np.ndarray] = []
-            first, size = 0, 0
-            for row, text in enumerate(raw(batch.column(2)), 1):
-                sets.append(shingles(text))
-                size += len(sets[-1]) + BANDS
-                if size < 1 << 20 and row < batch.num_rows:
-                    continue
-                cls = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+            rows = []
+            for text in raw(batch.column(2)):
+                made = shingles(text)
+                rows.append((np.uint64(xxhash.xxh64_intdigest(made.tobytes())).view(np.int64), len(made), majority(made), bands(made)))
+            if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, row - first), batch.column(1).slice(first, row - first),
-                     pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array([majority(s) for s in sets], pa.int64()),
-                     pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "_own", "cls", "fp", "bands", "members"])
-                sets, first, size = [], row, 0
+                    [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(
+                        zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))]],
+                    names=["doc_id", "_own", "cls", "size", "fp", "bands"])
     return docs.select(F.col("doc_id").cast("long"), "_own", "text").mapInArrow(
-        lean(run), "doc_id long, _own long, cls long, fp long, bands array<long>, members array<long>")
+        lean(run), "doc_id long, _own long, cls long, size int, fp long, bands array<long>")
 
 
-def _measured(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) with the sizes of their sets (n_a, n_b) and of what these have in common (``both``)."""
-    pairs = stored(pairs.select("a", "b").distinct(), "candidates")
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = stored(classes.select("cls", "members").join(asked, "cls", "left_semi"), "members")
+def _sets(docs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """cls and the ``members`` of its set, for each class of ``ranks`` (cls, rank), from the text that stands for it in ``docs``."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in stream for part in slices(whole, _SLICE)):
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).view(np.int64) for t in raw(batch.column(1))],
+                                                                           pa.list_(pa.int64()))], names=["cls", "members"])
+
+    at = ["_n", "_d", "_o"]
+    named = ranks.select("cls", *row_key(F.col("rank.d"), F.col("rank.o")))
+    # Repeated rows come together in the join; one of them is enough.
+    one = (docs.select("text", *row_key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(named, at)
+           .groupBy(*at, "cls").agg(F.first("text").alias("text")))
+    return one.select("cls", "text").mapInArrow(lean(run), "cls long, members array<long>")
+
+
+def _measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` of classes (a, b), each once, with the sizes of their sets (n_a, n_b) and of what these have in common (``both``)."""
     a, b = (sets.select(F.col("cls").alias(to), F.col("members").alias(f"m_{to}")) for to in "ab")
-    made = stored(pairs.join(b, "b").join(a, "a").select("a", "b", F.size("m_a").alias("n_a"), F.size("m_b").alias("n_b"),
+    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", F.size("m_a").alias("n_a"), F.size("m_b").alias("n_b"),
                                                          F.size(F.array_intersect("m_a", "m_b")).alias("both")), "measured")
-    forget(pairs, sets)
-    return made
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    """The classes (cls) of ``pairs`` (a, b)."""
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
 
 
 def _near(measured: DataFrame, least: Fraction) -> DataFrame:
@@ -115,64 +126,62 @@ def _fitting(least: Fraction) -> Column:
     return F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
 
 
-def by_fingerprints(classes: DataFrame, least: Fraction = LEAST) -> DataFrame:
-    """Verified links between ``classes`` (cls, fp, members): the first class of each fingerprint with the others, and with those of near fingerprints."""
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (cls, fp) to measure: the first class of each fingerprint with the others, and with those of near fingerprints."""
     first = stored(classes.groupBy("fp").agg(F.min("cls").alias("a")), "fingerprints")
     equal = classes.join(first, "fp").where("a <> cls").select("a", F.col("cls").alias("b"))
     near = (near_pairs(first.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
             .join(first.withColumnsRenamed({"fp": "x"}), "x").join(first.withColumnsRenamed({"fp": "y", "a": "b"}), "y").select("a", "b"))
-    return _near(_measured(classes, equal.unionByName(near)), least)
+    return equal.unionByName(near)
 
 
-def by_bands(classes: DataFrame, links: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED) -> DataFrame:
-    """Verified links between ``classes`` (cls, size, bands, members), which with ``links`` connect any two near classes that share a band."""
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """band, n, pivot, cls, size and o of the bands that ``n`` > 1 of ``classes`` (cls, size, bands) share; ``o`` orders the classes, the first is the pivot."""
     rows = classes.select("cls", "size", F.explode("bands").alias("band"))
     # An order of the classes that has nothing to do with what they hold, the same in all bands.
     order = F.struct(F.pmod(F.xxhash64("cls"), F.lit(1 << 31)).alias("u"), F.col("cls").alias("c"))
     several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(order)["c"].alias("pivot")).where("n > 1")
-    shared = stored(rows.join(several, "band").select("band", "n", "pivot", "cls", "size", order.alias("o")), "bands")
-
-    few = shared.where(F.col("n") <= max_crowd)
-    a, b = (few.select("band", F.col("cls").alias(to), F.col("size").alias(f"n_{to}")) for to in "ab")
-    found = [links, _near(_measured(classes, a.join(b, "band").where((F.col("a") < F.col("b")) & _fitting(least))), least)]
-    crowd = shared.where(F.col("n") > max_crowd)
-    if crowd.isEmpty():
-        forget(shared)
-        return found[1]
-    from_pivot = _measured(classes, crowd.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
-    found.append(_near(from_pivot, least))
+    return rows.join(several, "band").select("band", "n", "pivot", "cls", "size", order.alias("o"))
+
+
+def near_classes(docs: DataFrame, classes: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED) -> DataFrame:
+    """Verified links (a, b) between ``classes`` (cls, rank, fp, size, bands) of ``docs`` that connect all near ones."""
+    shared = stored(shared_bands(classes), "bands")
+    from_pivot = shared.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    pairs = stored(fingerprint_pairs(classes).unionByName(from_pivot).distinct(), "candidates")
+    sets = stored(_sets(docs, classes.select("cls", "rank").join(_members(pairs), "cls", "left_semi")), "sets")
+    measured = _measured(sets, pairs)
+    forget(pairs)
+    found = [_near(measured, least)]
     distance = 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
-    known = from_pivot.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), distance.alias("d"))
-    # Of a band's n classes about 2**t have turn t.
-    turn_of = F.floor(F.log2(F.col("o.u") * F.col("n") / F.lit(float(1 << 31)) + 1)).cast("int")
-    crowd = stored(crowd.join(known, ["pivot", "cls"], "left").select("band", "cls", "size", "o", F.coalesce("d", F.lit(0.0)).alias("d"),
-                                                                     turn_of.alias("turn")), "crowd")
-    forget(shared)
-    turns, turn = crowd.agg(F.max("turn")).first()[0], 0
-    while turn <= turns:
-        joined = components(reduce(DataFrame.unionByName, found)).select(F.col("node").alias("cls"), F.col("root").alias("root"))
-        left = crowd.where(F.col("turn") >= turn).join(joined, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), distance.alias("d"))
+    # Of a crowded band's n classes about 2**t have turn t; those of others have the first one.
+    turn_of = F.when(F.col("n") > max_crowd, F.floor(F.log2(F.col("o.u") * F.col("n") / F.lit(float(1 << 31)) + 1))).otherwise(0).cast("int")
+    left = (shared.where("n > 2").join(known, ["pivot", "cls"], "left").select(
+        "band", "cls", "size", "o", F.coalesce("d", F.lit(0.0)).alias("d"), turn_of.alias("turn"), F.col("cls").alias("root")))
+    links, done, turn = found[0], [shared], 0
+    while True:
+        # Links between roots are all that is new: nothing is connected again.
+        left = left.join(components(links).select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+        left = left.withColumn("root", F.coalesce("_to", "root")).drop("_to")
         several = left.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
         left = stored(left.join(several, "band", "left_semi"), "left")
+        forget(*done)
         if left.isEmpty():
             break
         a, b = (left.select("band", *[F.col(c).alias(f"{n}_{to}") for c, n in
                                       (("size", "n"), ("o", "o"), ("d", "d"), ("turn", "t"), ("root", "r"))], F.col("cls").alias(to)) for to in "ab")
         apart = float(1 - least) + 1e-9
-        pairs = a.where(F.col("t_a") == turn).join(b, "band").where(
+        pairs = stored(a.where(F.col("t_a") == turn).join(b, "band").where(
             (F.col("r_a") != F.col("r_b")) & ((F.col("t_b") > turn) | (F.col("o_a") < F.col("o_b")))
-            & (F.abs(F.col("d_a") - F.col("d_b")) <= apart) & _fitting(least))
-        found.append(_near(_measured(classes, pairs), least))
-        forget(left)
-        turn += 1
-    forget(crowd)
-    return reduce(DataFrame.unionByName, found[1:])
-
-
-def near_classes(classes: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED) -> DataFrame:
-    """Verified links (a, b) between ``classes`` (cls, fp, size, bands, members) that connect all near ones."""
-    links = by_fingerprints(classes, least)
-    return links.unionByName(by_bands(classes, links, least, max_crowd))
+            & (F.abs(F.col("d_a") - F.col("d_b")) <= apart) & _fitting(least)).select("a", "b", "r_a", "r_b").distinct(), "candidates")
+        some = stored(sets.join(_members(pairs), "cls", "left_semi"), "members")
+        found.append(_near(_measured(some, pairs), least))
+        links = stored(pairs.join(found[-1], ["a", "b"], "left_semi").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")), "root-links")
+        done, turn = [left, pairs, some, links], turn + 1
+        left = left.where(F.col("turn") >= turn)
+    forget(left, sets)
+    return reduce(DataFrame.unionByName, found)
 
 
 def keep_one(docs: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED) -> DataFrame:
@@ -180,11 +189,10 @@ def keep_one(docs: DataFrame, least: Fraction = LEAST, max_crowd: int = CROWDED)
 
     Null ids come last. Repeated rows of the one that stays are reduced to one. Texts without words are copies of each other.
     """
-    made = shingled(docs.select("doc_id", F.xxhash64("text").alias("_own"), "text"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_own").alias("o"))
-    classes = stored(made.groupBy("cls").agg(F.min(rank).alias("rank"), F.first("fp").alias("fp"), F.first(F.size("members")).alias("size"),
-                                                   F.first("bands").alias("bands"), F.first("members").alias("members")), "classes")
-    member = components(near_classes(classes, least, max_crowd)).withColumnRenamed("node", "cls")
+    classes = stored(printed(docs.select("doc_id", F.xxhash64("text").alias("_own"), "text")).groupBy("cls").agg(
+        F.min(rank).alias("rank"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    member = components(near_classes(docs, classes, least, max_crowd)).withColumnRenamed("node", "cls")
     ranks = stored(classes.select("cls", "rank"), "ranks")
-    forget(classes)  # with the members of all sets
+    forget(classes)  # with the bands of all sets
     return first_rows(docs, ranks.join(member, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rank").alias("first")))

@@ -219,14 +219,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return first_rows(docs, stay)
 
 
+def row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """_n, _d and _o, which are never null and name a row by its doc_id and the hash of its text."""
+    return [doc_id.isNull().alias("_n"), F.coalesce(doc_id, F.lit(0)).alias("_d"), text_hash.alias("_o")]
+
+
 def first_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``stay`` names by ``first`` (d: doc_id, o: hash of the text), each once."""
-    def key(doc_id: Column, text_hash: Column) -> list[Column]:
-        return [doc_id.isNull().alias("_n"), F.coalesce(doc_id, F.lit(0)).alias("_d"), text_hash.alias("_o")]
-
     at = ["_n", "_d", "_o"]
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), *key(F.col("doc_id"), F.xxhash64("text")))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(F.col("doc_id"), F.xxhash64("text")))
     # Join and window share one shuffle of the texts.
-    return (whole.join(stay.select(*key(F.col("first.d"), F.col("first.o"))), at)
+    return (whole.join(stay.select(*row_key(F.col("first.d"), F.col("first.o"))), at)
             .withColumn("_copy", F.row_number().over(Window.partitionBy(*at).orderBy("_o")))
             .where("_copy = 1").select("_row.*"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 from functools import cache
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 
 import corpus_pipeline
 from entrylake.llm import capfilters, shingles, simhash, suffix
-from entrylake.llm.common import table
+from entrylake.llm.common import stored, table
 from entrylake.llm.components import components
 from helpers import DOCS, ODD_TEXTS, Union, documents, prose
 
@@ -204,6 +205,23 @@ def test_no_link_is_lost_in_crowded_bands(spark, seed):
         assert sorted(r.doc_id for r in shingles.keep_one(documents(spark, rows), max_crowd=crowd).collect()) == want
 
 
+def test_sets_are_stored_for_candidates_only(spark, monkeypatch):
+    """What the stage stores of texts that resemble no other is small beside the texts; that of near copies, copies and repeated rows is still compared."""
+    sizes = {}
+
+    def noted(df, purpose):
+        made = stored(df, purpose)
+        sizes[made._stored_at] = sum(p.stat().st_size for p in Path(made._stored_at.removeprefix("file:")).rglob("*.parquet"))
+        return made
+    monkeypatch.setattr(shingles, "stored", noted)
+    texts = [prose(5000 + i, 3000) for i in range(100)]
+    near = [" ".join([*t.split()[:-5], "other", "words"]) for t in texts[:3]]
+    rows = [*enumerate(texts + near + texts[3:5]), (None, texts[6]), (7, texts[7]), (7, texts[7]), (200, None), (201, " ")]
+    got = [r.doc_id for r in shingles.keep_one(documents(spark, rows)).collect()]
+    assert sorted(got) == [*range(100), 200]
+    assert 0 < sum(sizes.values()) < sum(map(len, texts)) / 2
+
+
 def test_majority_is_that_of_the_fingerprint():
     for text in ("a b c d e f g", "x", "one two three four five six seven eight"):
         words = text.encode().split()
