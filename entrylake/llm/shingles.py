@@ -7,9 +7,9 @@ Candidates come from two indexes, and each is verified by its exact sets, so not
    found by MinHash: two texts share all ``ROWS`` minima of one of ``BANDS`` bands with a chance of 1 - (1 - s**ROWS)**BANDS, which misses 5 of a
    million pairs at s = 0.8.
 
-Texts of equal sets are one class from the start. Only what is connected counts, so a band shared by very many classes is not paired up: in turns, one, two,
-four .. of its classes are compared to those that are not connected with them yet. Two classes that are near have similar distances from
-any third one, so those whose distances from the band's first class differ by more than 0.2 are passed over. A band is done when it is connected, or all of
+Texts of equal sets are one class from the start. Only what is connected counts, so each band's classes are compared with the band's first one, its pivot, and
+then with those that are not connected with them yet: in a band shared by very many classes in turns, one, two, four .. of them at a time. Two classes that are near
+have similar distances from any third one, so those whose distances from the pivot differ by more than 0.2 are passed over. A band is done when it is connected, or all of
 its classes had their turn; so no link between components is lost, however crowded a band is.
 """
 
