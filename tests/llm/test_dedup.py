@@ -205,6 +205,66 @@ def test_no_link_is_lost_in_crowded_bands(spark, seed):
         assert sorted(r.doc_id for r in shingles.keep_one(documents(spark, rows), max_crowd=crowd).collect()) == want
 
 
+def variants(seed, n, words=150, most=16):
+    """A text and versions of it with 0 to ``most`` words replaced; most of them are near to few others."""
+    rng = random.Random(seed)
+    base = prose(seed, words).split()
+    out = []
+    for _ in range(n):
+        made = base[:]
+        for at in rng.sample(range(words), rng.randint(0, most)):
+            made[at] = f"z{rng.randrange(10**6)}"
+        out.append(" ".join(made))
+    return out
+
+
+def test_few_pairs_of_a_group_of_variants_are_measured(spark, monkeypatch):
+    """Of a group whose classes share bands, but are hardly near, few pairs are measured, not all; the same texts stay."""
+    measured = []
+
+    def noted(df, purpose):
+        made = stored(df, purpose)
+        if purpose == "measured":
+            measured.append(made.count())
+        return made
+    monkeypatch.setattr(shingles, "stored", noted)
+    n = 600
+    rows = [*enumerate(variants(31, n))]
+    sets = [five_words(t) for _, t in rows]
+    union = Union(n)
+    for i in range(n):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                union.join(i, j)
+    want = sorted({union.find(i) for i in range(n)})
+    assert n / 3 < len(want) < n
+    assert sorted(r.doc_id for r in shingles.keep_one(documents(spark, rows), max_crowd=8).collect()) == want
+    assert sum(measured) < 16 * n
+
+
+@pytest.mark.parametrize("counted", [1 << 18, 50])
+def test_near_sets_share_a_rare_shingle(spark, counted, monkeypatch):
+    """Every near pair of a crowd shares a list within the places that their sizes leave, however the shingles are dealt for counting."""
+    monkeypatch.setattr(shingles, "_COUNTED", counted)
+    made = {i: shingles.shingles(t.encode()).view(np.int64).tolist() for i, t in enumerate(
+        [*variants(5, 40, 60, 6), *[" ".join(t.split()[:n]) for n, t in zip(range(48, 60), variants(5, 12, 60, 2))]])}
+    sets = spark.createDataFrame(list(made.items()), "cls long, members array<long>")
+    crowd = spark.createDataFrame([(i, len(m), 0 if i % 2 else min(map(len, made.values()))) for i, m in made.items()], "cls long, size int, smallest int")
+    times = Counter(s for m in made.values() for s in m)
+    lists = {(r.cls, r.list): r.place for r in shingles.rare_shingles(crowd, sets).collect()}
+    for i, m in made.items():
+        for place, s in enumerate(sorted(m, key=lambda s: (times[s], s))):
+            assert lists.get((i, s), place) == place and (times[s] > 1 or (i, s) not in lists)
+    near = 0
+    for i, a in made.items():
+        for j in range(i):
+            b = made[j]
+            if 9 * len(set(a) & set(b)) >= 4 * (len(a) + len(b)):
+                need, near = -(-4 * (len(a) + len(b)) // 9), near + 1
+                assert any((j, s) in lists and min(len(a) - lists[i, s], len(b) - lists[j, s]) >= need for s in a if (i, s) in lists)
+    assert near > 30
+
+
 def test_sets_are_stored_for_candidates_only(spark, monkeypatch):
     """What the stage stores of texts that resemble no other is small beside the texts; that of near copies, copies and repeated rows is still compared."""
     sizes = {}
