@@ -25,8 +25,9 @@ TRAIN_BYTES = 64 * 2**20
 _ROUNDS = 12
 #: Table entries that a block of queries may have (float32), if only so many of each are scored.
 _TABLES = 64 * 2**20
-_SLACK = 2e-6  # scores are rounded to six decimals
 _CODED = "id long, cell long, code binary, lost float"
+#: One in so many entries is searched before the others, if that leaves so many; rows of a task then.
+_SHARES, _FIRST_ROWS, _TASK_ROWS = 16, 8192, 2048
 _SIEVED = "q_id long, id long, score double, n long"
 
 
@@ -151,6 +152,8 @@ def pq_search(queries: DataFrame, index: PqIndex, k: int, nprobe: int, survivors
     per_block = max_bytes // (8 * dim) if survivors is None else min(max_bytes // (8 * dim), _TABLES // (4 * parts * CODES))
     per_block = max(1, per_block)
     blocks = max(1, -(-queries.count() // per_block))
+    if blocks > 1:  # each block reads them again
+        index = PqIndex(IvfIndex(_kept(index.cells.rows.select("id", "v", "cell"), "cells"), index.cells.centres), _kept(index.codes, "codes"), index.books)
     hits, effort = [], []
     for b in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
@@ -168,36 +171,36 @@ def pq_search(queries: DataFrame, index: PqIndex, k: int, nprobe: int, survivors
 
 def _search(packed: tuple[np.ndarray, np.ndarray], index: PqIndex, k: int, nprobe: int, survivors: int | None, skip_self: bool) -> ProbedHits:
     q_ids, vectors = packed
-    parts, _, wide = index.books.shape
+    parts, dim = len(index.books), index.cells.centres.shape[1]
     probes = _Cells(index.cells.centres, nprobe)(vectors) if len(q_ids) else np.zeros((0, 1), np.int64)
     spark = index.codes.sparkSession
     wanted = np.unique(probes).tolist()
     read = index.codes.where(F.col("cell").isin(wanted))
     rows = index.cells.rows.select("id", "v", "cell").where(F.col("cell").isin(wanted))
+    size = {r["cell"]: r["count"] for r in read.groupBy("cell").count().collect()}  # as many as there are centres at most
     if survivors is None:
-        given = (packed, index.books, _units(index.cells.centres), _Router(probes, None))
-        by_low = Window.partitionBy("q_id").orderBy(F.desc("low"))
-        lows = read.mapInArrow(_lowest(spark.sparkContext.broadcast(given), k, skip_self), "q_id long, low double")
-        kth = lows.withColumn("n", F.row_number().over(by_low)).where(F.col("n") == k).select("q_id", "low").toArrow()  # one for each query
-        named, low = kth.column("q_id").to_numpy(), kth.column("low").to_numpy()
-        order = np.argsort(named)
-        at = np.minimum(np.searchsorted(named[order], q_ids), max(0, len(named) - 1))
-        bars = np.where(named[order][at] == q_ids, low[order][at], -np.inf) if len(named) else np.full(len(q_ids), -np.inf)
-        shared = spark.sparkContext.broadcast((*given, bars))
-        # Codes and vectors lie side by side: nothing but the best k of a task leaves it, however little the codes rule out.
-        many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-        both = rows.repartition(many, "id", "cell").join(read.repartition(many, "id", "cell"), ["id", "cell"])
-        made = _kept(both.select("id", "v", "cell", "code", "lost").mapInArrow(_sieve(shared, k, skip_self), _SIEVED), "sieved")
+        given = (packed, index.books, _units(index.cells.centres), _Router(probes, None, joined=True))
+        # A part of the entries is searched first, in few tasks: its best k are the bars of the others, so those write little.
+        total = sum(size.values())
+        shares = min(_SHARES, max(1, total // _FIRST_ROWS))
+        share = F.pmod(F.xxhash64("id"), F.lit(shares))
+        few = min(spark.sparkContext.defaultParallelism, 1 + total // shares // _TASK_ROWS)
+        made = _sieved(read.where(share == 0), rows.where(share == 0), few, (*given, None), k, skip_self)
+        if shares > 1:
+            best = _kept(K.rank_hits(made.where("id is not null").select("q_id", "id", "score"), k), "best")
+            bars = _bars(best, q_ids, k)
+            most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+            many = min(most, max(2 * spark.sparkContext.defaultParallelism, total // (2 * _TASK_ROWS)))
+            rest = _sieved(read.where(share > 0), rows.where(share > 0), many, (*given, bars), k, skip_self)
+            made = rest.unionByName(best.select("q_id", "id", "score", F.lit(None).cast("long").alias("n"))).unionByName(made.where("id is null"))
         hits = _kept(K.rank_hits(made.where("id is not null").select("q_id", "id", "score"), k), "hits")
         per_query = made.where("id is null").groupBy("q_id").agg(F.sum("n").alias("survivors"))
     else:
         left = _estimated(packed, index, read, _Router(probes, None), survivors, skip_self)
         hits = _kept(K.rank_hits(_rescored(packed, rows.join(left, ["id", "cell"])), k), "hits")
         per_query = left.groupBy("q_id").agg(F.count(F.lit(1)).alias("survivors"))
-    size = {r["cell"]: r["count"] for r in read.groupBy("cell").count().collect()}  # as many as there are centres at most
     counted = spark.createDataFrame([(int(i), int(sum(size.get(c, 0) for c in row))) for i, row in zip(q_ids, probes.tolist())],
                                     "q_id long, rows_read long")
-    dim = index.cells.centres.shape[1]
     effort = counted.join(per_query, "q_id", "left").withColumn("survivors", F.coalesce("survivors", F.lit(0))).withColumns({
         "bytes_read": F.col("rows_read") * (parts + 4) + F.col("survivors") * 4 * dim, "plain_bytes": F.col("rows_read") * 4 * dim})
     return ProbedHits(hits, effort)
@@ -209,22 +212,25 @@ def _decoded(part: pa.RecordBatch, books: np.ndarray, unit: np.ndarray) -> np.nd
     return unit[part.column("cell").to_numpy()] + np.concatenate([book[code[:, p]] for p, book in enumerate(books)], axis=1)
 
 
-def _lowest(shared, k: int, skip_self: bool):
-    """Of each query, k scores that so many entries of the task reach at least, from codes alone."""
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (q_ids, given), books, unit, route = shared.value
-        best = K.Best(q_ids, given, k, "cosine", skip_self, False, None)
-        lows = np.full((len(q_ids), k), -np.inf, np.float32)
-        for batch in batches:
-            ids, near = batch.column("id").to_numpy(), _decoded(batch, books, unit)
-            lost = batch.column("lost").to_numpy() + 3 * best.error + _SLACK
-            for entries, asked in route(batch, np.arange(len(ids)), None):
-                best.lows(ids[entries], near[entries], lost[entries], asked, lows)
-        for a in range(0, len(q_ids), 100_000):
-            q, place = np.nonzero(lows[a:a + 100_000] > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + q]), pa.array(lows[a + q, place].astype(np.float64))], names=["q_id", "low"])
+def _bars(best: DataFrame, q_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query."""
+    kth = best.where(F.col("rnk") == k).select("q_id", "score").toArrow()  # one for each query
+    named, low = kth.column("q_id").to_numpy(), kth.column("score").to_numpy()
+    if not len(named):
+        return np.full(len(q_ids), -np.inf)
+    order = np.argsort(named)
+    at = order[np.minimum(np.searchsorted(named[order], q_ids), len(named) - 1)]
+    return np.where(named[at] == q_ids, low[at], -np.inf)
 
-    return kernel
+
+def _sieved(codes: DataFrame, rows: DataFrame, tasks: int, given: tuple, k: int, skip_self: bool) -> DataFrame:
+    """Hits of the queries among some entries, and how many entries of each the codes did not rule out, stored.
+
+    Codes and vectors lie side by side: nothing but the best k of a task leaves it, however little the codes rule out.
+    """
+    both = rows.join(codes, ["id", "cell"]).repartition(tasks, "id").sortWithinPartitions("cell")
+    shared = rows.sparkSession.sparkContext.broadcast(given)
+    return _kept(both.select("id", "v", "cell", "code", "lost").mapInArrow(_sieve(shared, k, skip_self), _SIEVED), "sieved")
 
 
 def _sieve(shared, k: int, skip_self: bool):

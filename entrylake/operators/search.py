@@ -224,18 +224,21 @@ def _in_cells(df: DataFrame, key: str, dim: int, assign: Callable[[np.ndarray],
 
 
 class _Router:
-    """Sends the entries of a batch to the queries that probe one of their cells."""
+    """Sends the entries of a batch to the queries that probe one of their cells; ``joined`` sends those of cells that all queries probe at once."""
 
-    def __init__(self, probes: np.ndarray, assign: Callable[[np.ndarray], np.ndarray] | None):
+    def __init__(self, probes: np.ndarray, assign: Callable[[np.ndarray], np.ndarray] | None, joined: bool = False):
         self.assign = assign
         order = np.argsort(probes.ravel(), kind="stable")
         cells, begins = np.unique(probes.ravel()[order], return_index=True)
         asked = np.split(order // probes.shape[1], begins[1:])
         self.asked = dict(zip(cells.tolist(), asked))
+        self.whole = np.array([c for c, a in self.asked.items() if joined and len(a) == len(probes)], dtype=np.int64)
 
     def __call__(self, batch: pa.RecordBatch, rows: np.ndarray, block: np.ndarray):
         cells = (batch.column("cell").to_numpy()[rows][:, None] if self.assign is None
                  else self.assign(block))
+        if len(self.whole):
+            cells = np.where(np.isin(cells, self.whole), self.whole[0], cells)
         order = np.argsort(cells.ravel(), kind="stable")
         names, begins = np.unique(cells.ravel()[order], return_index=True)
         for name, entries in zip(names.tolist(), np.split(order // cells.shape[1], begins[1:])):
@@ -243,6 +246,21 @@ class _Router:
                 yield entries, self.asked[name]
 
 
+def _unit_vectors(dim: int):
+    """The searchable vectors, scaled to unit length."""
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, block = K.list_matrix(batch.column("v"), dim)
+            total = np.zeros(len(block))
+            for j in range(dim):  # in this order, as Spark's aggregate adds
+                total += block[:, j] * block[:, j]
+            block = block / np.sqrt(total)[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * dim), pa.array(block.ravel()))
+            yield pa.RecordBatch.from_arrays([lists], names=["v"])
+
+    return kernel
+
+
 def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_000, seed: int = 7,
               keep: tuple[str, ...] = ()) -> IvfIndex:
     """Inverted-file index: k-means cells of the unit vectors.
@@ -251,14 +269,13 @@ def ivf_build(corpus: DataFrame, dim: int, cells: int, train_rows: int = 1_000_0
     assigned to a cell. ``ivf_save`` keeps it for many searches. The columns ``keep`` of the
     corpus stay with its rows, for filters.
     """
-    usable = corpus.where(vector_problem(F.col("v"), dim).isNull())
-    unit = normalize(usable.select("id", "v"), "v")
+    unit = corpus.select("v").mapInArrow(_unit_vectors(dim), "v array<double>")
     total = unit.count()
     part = unit if total <= train_rows else unit.sample(train_rows / total, seed=seed)
     model = (KMeans(k=cells, seed=seed, featuresCol="_f", maxIter=15, initSteps=3)
              .fit(part.select(array_to_vector("v").alias("_f"))))
     centres = np.array(model.clusterCenters())
-    return IvfIndex(_in_cells(usable, "id", dim, _Cells(centres, 1), keep), centres)
+    return IvfIndex(_in_cells(corpus, "id", dim, _Cells(centres, 1), keep), centres)
 
 
 def ivf_save(index: IvfIndex, path: str) -> None:
@@ -292,7 +309,7 @@ def ivf_search(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, metric:
         probes = assign(packed[1])
         # At most as many cells as there are centres.
         rows = index.rows.where(F.col("cell").isin(np.unique(probes).tolist()))
-        hits = K.scan(packed, rows, K.list_matrix, dim, k, metric, _Router(probes, None), **options)
+        hits = K.scan(packed, rows, K.list_matrix, dim, k, metric, _Router(probes, None, joined=True), **options)
     else:
         asked = _in_cells(queries, "q_id", dim, assign)
         hits = K.grid(asked, index.rows, K.list_matrix, dim, k, metric, block_rows, **options)

@@ -26,6 +26,8 @@ _TILE, _TILE_CODED, _CELLS_IN_TILE = 1024, 512, 1_048_576
 #: Codes of a query up to which columns of a tile are added up, and columns that are taken at once.
 _SHORT, _ADDED = 96, 500
 _LISTED_CELLS = 100_000
+#: One in so many pairs is few.
+_FEW = 64
 _DIGITS = 1e6
 RESULT = "q_id long, id long, score double"
 _HITS = pa.schema([("q_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
@@ -208,6 +210,8 @@ class Best:
         ``guess``, for cosine, are vectors near those of the block scaled to unit length, and how far off they can be: what they rule out
         is not scored.
         """
+        if only is not None and len(only) == len(self.q_ids):
+            only = None
         asked = len(self.q_ids) if only is None else len(only)
         if not asked or not len(ids):
             return
@@ -227,27 +231,6 @@ class Best:
                 which = slice(b, min(b + high, asked)) if only is None else only[b:b + high]
                 self._add(ids[some], block[some], length[some], tile, off, own, which)
 
-    def lows(self, ids: np.ndarray, guess: np.ndarray, off: np.ndarray, asked: np.ndarray, held: np.ndarray) -> None:
-        """Raise the k scores ``held`` of each query to ones that entries near ``guess``, by ``off`` at most, reach surely."""
-        wide = max(64, 8 * self.k)
-        for a in range(0, len(ids), _TILE):
-            some = slice(a, a + _TILE)
-            tile, own = np.column_stack([guess[some], -off[some]]).astype(np.float32), self._own(ids[some]) if self.skip_self else None
-            high = max(_TILE, _CELLS_IN_TILE // len(tile))
-            for b in range(0, len(asked), high):
-                which = asked[b:b + high]
-                near = self.queries.near(which, self.scale, 1.0, tile)
-                if own is not None:
-                    back = np.full(len(self.q_ids), -1)
-                    back[which] = np.arange(len(which))
-                    there = back[own[0]]
-                    near[there[there >= 0], own[1][there >= 0]] = -np.inf
-                if near.shape[1] >= 2 * wide:
-                    fold = near.shape[1] // wide
-                    near = near[:, :fold * wide].reshape(len(near), fold, wide).max(axis=1)
-                near = np.concatenate([held[which], near], axis=1)
-                held[which] = np.partition(near, -self.k, axis=1)[:, -self.k:]
-
     def _needed(self, ids: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Positions without entries that are equal to k + 1 others of smaller id: they are among the best of no query."""
         order = np.argsort(ids, kind="stable")
@@ -279,6 +262,17 @@ class Best:
         at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return self.own[at], np.repeat(np.arange(len(ids)), n)
 
+    def _here(self, own: tuple[np.ndarray, np.ndarray], which, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs ``own`` whose query is one of the n of a tile, by its place there."""
+        if isinstance(which, slice):
+            place = own[0] - which.start
+        else:
+            back = np.full(len(self.q_ids), -1)
+            back[which] = np.arange(n)
+            place = back[own[0]]
+        there = (place >= 0) & (place < n)
+        return place[there], own[1][there]
+
     def _bar(self, which) -> np.ndarray:
         worst = self.score[which, -1]
         return worst if self.floor is None else np.maximum(worst, self.floor[which] if np.ndim(self.floor) else self.floor)
@@ -314,36 +308,48 @@ class Best:
         bar = self._bar(which)
         if tile is None:
             q, r = (x.ravel() for x in np.indices((len(positions), len(ids))))
+            self.scored[positions] += len(ids)
         else:
             extra = -0.5 if self.metric == "l2" else 1.0 if off is not None else None
-            near = self.queries.near(which, self.scale, extra, tile)
             if own is not None:
-                back = np.full(len(self.q_ids), -1)
-                back[positions] = np.arange(len(positions))
-                there = back[own[0]]
-                near[there[there >= 0], own[1][there >= 0]] = -np.inf
-            least, apart = self._least(which, bar, length.max())
-            new = np.flatnonzero(self.score[positions, -1] == -np.inf)
-            if len(new):
-                least[new] = np.maximum(least[new], self._kth(near[new], off) - 2 * apart[new])
-            if self.overlap:
-                # Without a shared column the score is 0, so only low bars need the check.
-                low = np.flatnonzero(least <= 0)
-                for a in range(0, len(low), rows_per_matrix(block.shape[1])):
-                    some = low[a:a + rows_per_matrix(block.shape[1])]
-                    shared = (self.queries.full(positions[some]) != 0).astype(np.float32) @ (block != 0).astype(np.float32).T
-                    near[some] = np.where(shared > 0, near[some], -np.inf)
-                    least[some] = np.maximum(self._least(positions[some], bar[some], length.max())[0], self._kth(near[some], off) - 2 * apart[some])
-            # Rounded down, as the products are compared in single precision.
-            least = np.nextafter(np.maximum(least, -3e38).astype(np.float32), np.float32(-np.inf))
-            q, r = np.divmod(_set_places(near >= least[:, None]), len(ids))
+                own = self._here(own, which, len(positions))
+            found = self._reach(self.queries.near(which, self.scale, extra, tile), bar, block, length, off, own, positions)
+            own_tile = self._tile(block, length) if off is not None and np.count_nonzero(found) > found.size // _FEW else None
+            if own_tile is not None:
+                # Guesses that leave many are followed by products of the vectors, which cost less than as many scores.
+                self.scored[positions] += np.bitwise_count(np.packbits(found, axis=1)).sum(axis=1, dtype=np.int64)
+                near = self.queries.near(which, self.scale, extra, np.column_stack([own_tile, np.zeros(len(ids), np.float32)]))
+                found &= self._reach(near, bar, block, length, None, own, positions)
+            q, r = np.divmod(_set_places(found), len(ids))
+            if own_tile is None:
+                self.scored[positions] += np.bincount(q, minlength=len(positions))
         # Few pairs are left unless entries are alike; they are scored in pieces.
         step = max(1, _CELLS_AT_ONCE // block.shape[1])
         for a in range(0, len(q), step):
             self._score(ids, block, length, positions[q[a:a + step]], r[a:a + step])
 
+    def _reach(self, near: np.ndarray, bar: np.ndarray, block: np.ndarray, length: np.ndarray, off: np.ndarray | None,
+               own: tuple[np.ndarray, np.ndarray] | None, positions: np.ndarray) -> np.ndarray:
+        """Flags of the pairs whose score may reach the bar of its query, by products in single precision (changed here)."""
+        if own is not None:
+            near[own] = -np.inf
+        least, apart = self._least(positions, bar, length.max())
+        new = np.flatnonzero(self.score[positions, -1] == -np.inf)
+        if len(new):
+            least[new] = np.maximum(least[new], self._kth(near[new], off) - 2 * apart[new])
+        if self.overlap:
+            # Without a shared column the score is 0, so only low bars need the check.
+            low = np.flatnonzero(least <= 0)
+            for a in range(0, len(low), rows_per_matrix(block.shape[1])):
+                some = low[a:a + rows_per_matrix(block.shape[1])]
+                shared = (self.queries.full(positions[some]) != 0).astype(np.float32) @ (block != 0).astype(np.float32).T
+                near[some] = np.where(shared > 0, near[some], -np.inf)
+                least[some] = np.maximum(self._least(positions[some], bar[some], length.max())[0], self._kth(near[some], off) - 2 * apart[some])
+        # Rounded down, as the products are compared in single precision.
+        least = np.nextafter(np.maximum(least, -3e38).astype(np.float32), np.float32(-np.inf))
+        return near >= least[:, None]
+
     def _score(self, ids: np.ndarray, block: np.ndarray, length: np.ndarray, q: np.ndarray, r: np.ndarray) -> None:
-        self.scored += np.bincount(q, minlength=len(self.q_ids))
         rows, entries = self.queries.full(q), block[r]
         if self.metric == "l2":
             score = -_round(np.sqrt(np.square(rows - entries).sum(1)))

@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from entrylake.operators import compressed as C, search as X, topk as K
@@ -62,3 +63,32 @@ def test_codes_that_rule_out_little_write_little(spark, monkeypatch):
     want = X.knn(asked, corpus, 2, 16, skip_self=True)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert max(written.values()) < 20 * 1500 / 10
+
+
+def test_guesses_that_rule_out_little_are_not_followed_by_scores_of_all(monkeypatch):
+    rng, counted, score = np.random.default_rng(6), [], K.Best._score
+    monkeypatch.setattr(K.Best, "_score", lambda self, ids, block, length, q, r: counted.append(len(q)) or score(self, ids, block, length, q, r))
+    asked, block = rng.normal(size=(300, 16)), rng.normal(size=(2000, 16))
+    unit = block / np.linalg.norm(block, axis=1)[:, None]
+    guess = unit + 0.15 * rng.normal(size=unit.shape)
+    best = K.Best(np.arange(300), asked, 3, "cosine", True, False, np.full(300, 0.5))
+    best.add(np.arange(2000), block, guess=(guess, np.linalg.norm(unit - guess, axis=1) + 1e-6))
+    near = K._round(asked @ unit.T / np.linalg.norm(asked, axis=1)[:, None])
+    np.fill_diagonal(near, -1)
+    assert best.ids.tolist() == [sorted(range(2000), key=lambda i: (-row[i], i))[:3] for row in near]
+    assert sum(counted) < best.scored.sum() / 4
+
+
+def test_cells_that_all_queries_probe_are_scored_together(spark):
+    probes = np.array([[0, 2], [2, 1], [2, 0]])
+    route = X._Router(np.sort(np.concatenate([probes, np.full((3, 1), 3)], axis=1), axis=1), None, joined=True)
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 0, 2, 3, 1])], names=["cell"])
+    found = sorted((entries.tolist(), asked.tolist()) for entries, asked in route(batch, np.arange(5), None))
+    assert found == [([0, 2, 3], [0, 1, 2]), ([1], [0, 2]), ([4], [1])]
+
+
+def test_unit_vectors_equal_those_of_spark(spark):
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(7).normal(size=(200, 24)))]
+                                 + [(900, None), (901, [0.0] * 24), (902, [1.0])], "id long, v array<float>")
+    want = X.normalize(rows.where("id < 900"), "v").select("v")
+    assert sorted(map(tuple, rows.select("v").mapInArrow(X._unit_vectors(24), "v array<double>").collect())) == sorted(map(tuple, want.collect()))
