@@ -92,3 +92,29 @@ def test_unit_vectors_equal_those_of_spark(spark):
                                  + [(900, None), (901, [0.0] * 24), (902, [1.0])], "id long, v array<float>")
     want = X.normalize(rows.where("id < 900"), "v").select("v")
     assert sorted(map(tuple, rows.select("v").mapInArrow(X._unit_vectors(24), "v array<double>").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sparse_queries_are_not_unfolded_to_be_scored(monkeypatch):
+    rng, unfolded, full = np.random.default_rng(8), [], K.Coded.full
+    asked = rng.integers(-2, 3, size=(400, 512)) * (rng.random((400, 512)) < 0.02)
+    asked = asked[asked.any(axis=1)].astype(float)
+    block = (rng.integers(-4, 5, size=(700, 512)) * (rng.random((700, 512)) < 0.3)).astype(float)
+    best = K.Best(np.arange(len(asked)), K.Coded(512, *K.Coded.split(asked)), 4, "cosine", False, True, None)
+    monkeypatch.setattr(K.Coded, "full", lambda self, which: unfolded.append(len(which)) or full(self, which))
+    best.add(np.arange(700), block)
+    near = K._round(asked @ block.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(block, axis=1))
+    assert best.ids.tolist() == [sorted(range(700), key=lambda i: (-row[i], i))[:4] for row in near]
+    assert not sum(unfolded)
+
+
+def test_short_queries_come_in_larger_blocks_than_long_entries(spark, monkeypatch):
+    words = [f"{a}{b}" for a in "abcdef" for b in "ghijkl"]
+    entries = spark.range(600).select("id", F.array(*[F.element_at(F.array(*map(F.lit, words)), (F.xxhash64(F.lit(i), "id") % 18 + 18 + 1).cast("int")) for i in range(40)]).alias("v"))
+    asked = entries.where("id < 200").select(F.col("id").alias("q_id"), F.slice("v", 1, 2).alias("v"))
+    sizes, grid = [], K.grid
+    monkeypatch.setattr(K, "grid", lambda *given, query_rows=None, **more: sizes.append(query_rows) or grid(*given, query_rows=query_rows, **more))
+    options = {"skip_self": False, "overlap": True, "floor": None}
+    got = K.top_k(asked, entries, K.code_matrix, 64, 3, "cosine", 10, 10, **options)
+    want = K.top_k(asked, entries, K.code_matrix, 64, 3, "cosine", **options)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(sizes) == 1 and sizes[0] > 50
